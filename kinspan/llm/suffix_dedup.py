@@ -25,15 +25,17 @@ from pyspark.sql import functions as F
 
 from kinspan.llm.common import CHUNK_BYTES, mix64, pieces, powers, read, stage, text_buffers
 
-TRIGGER = 32
+TRIGGER = 40
 #: Low bits of a trigger key that hold the position in the piece; a piece has at most that many bytes.
 POSITION_BITS = 21
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Trigger hashes that one document in 64 shows this often are dealt over SALTS groups; at most HEAVY of them.
 HEAVY, HEAVY_LEAST, SALTS, SAMPLE = 1024, 64, 32, 64
+#: Up to so many phrases that share trigger bytes are broadcast to their texts (24 bytes each); more are joined by a shuffle.
+BROADCAST_PHRASES = 1_000_000
 
 PARSE_SCHEMA = "doc_id long, start int, n_win int, salt int, anchor long, phrase long"
-WINDOW_SCHEMA = "doc_id long, pos int, anchor long, digest long"
+WINDOW_SCHEMA = "doc_id long, start int, anchor long, digest long, salt int"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
@@ -101,20 +103,20 @@ def _parse(length: int, heavy: list[int]) -> Callable[[Iterator[pa.RecordBatch]]
 
 
 def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Hash each string of the marked phrases: rows (doc_id, text, marks: start, n_win, anchor)."""
+    """Hash each string of the marked phrases: rows (doc_id, text, marks: start, n_win, anchor, salt)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
+            out: list[tuple[int, int, int, int, int]] = []
             for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 b = text.encode()
-                for start, n_win, anchor in {(m["start"], m["n_win"], m["anchor"]) for m in marks}:
+                for start, n_win, anchor, salt in {(m["start"], m["n_win"], m["anchor"], m["salt"]) for m in marks}:
                     for pos in range(start, start + n_win):
                         digest = hashlib.blake2b(b[pos : pos + length], digest_size=8).digest()
-                        out.append((doc, pos, anchor, int.from_bytes(digest, "little", signed=True)))
+                        out.append((doc, pos, anchor, int.from_bytes(digest, "little", signed=True), salt))
             if out:
-                doc, pos, anchor, digest = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(anchor, pa.int64()), pa.array(digest, pa.int64())], ["doc_id", "pos", "anchor", "digest"])
+                doc, pos, anchor, digest, salt = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), pa.array(salt, pa.int32())], ["doc_id", "start", "anchor", "digest", "salt"])
 
     return run
 
@@ -169,7 +171,7 @@ def dedup_substrings(docs: DataFrame, length: int = 100, with_text: bool = True)
     marks = stage(
         parse.withColumn("place", F.rank().over(Window.partitionBy("anchor", "salt", "phrase").orderBy("doc_id", "start")))
         .withColumns({"least": F.min("phrase").over(group), "most": F.max("phrase").over(group)})
-        .select("doc_id", "start", "n_win", "anchor", (F.col("place") > 1).alias("again"), ((F.col("least") != F.col("most")) | (F.col("salt") > 0)).alias("open"))
+        .select("doc_id", "start", "n_win", "anchor", "salt", (F.col("place") > 1).alias("again"), ((F.col("least") != F.col("most")) | (F.col("salt") > 0)).alias("open"))
         .filter("again or open"),
         "marks",
     )
@@ -177,10 +179,16 @@ def dedup_substrings(docs: DataFrame, length: int = 100, with_text: bool = True)
     def by_document(rows: DataFrame, *more: str) -> DataFrame:
         return rows.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "n_win", *more)).alias("marks"))
 
-    variants = by_document(marks.filter("open and not again"), "anchor")
-    windows = stage(known.join(variants, F.col("doc_id") == F.col("of")).select("doc_id", "text", "marks").mapInArrow(_windows(length), WINDOW_SCHEMA), "windows")
-    first = windows.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "digest", "first")
-    later = windows.join(first, ["anchor", "digest"]).filter(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n_win"))
+    shared = marks.filter("open and not again")
+    variants = by_document(shared, "anchor", "salt")
+    if shared.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
+        variants = F.broadcast(variants)
+    windows = known.join(variants, F.col("doc_id") == F.col("of")).select("doc_id", "text", "marks").mapInArrow(_windows(length), WINDOW_SCHEMA)
+    # heavy triggers' strings are ordered within each salt first, and the first ones of the salts among themselves
+    near = Window.partitionBy("anchor", "digest", "salt").orderBy("doc_id", "start")
+    ranked = stage(windows.withColumn("place", F.rank().over(near)).filter("place > 1 or salt > 0"), "ranked")
+    leads = ranked.filter("place = 1").withColumn("place", F.rank().over(Window.partitionBy("anchor", "digest").orderBy("doc_id", "start")))
+    later = ranked.unionByName(leads).filter("place > 1").select("doc_id", "start", F.lit(1).alias("n_win"))
 
     spans = by_document(marks.filter("again").select("doc_id", "start", "n_win").unionByName(later))
     return docs.join(spans, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "marks").mapInArrow(_cut(length, with_text), RESULT_SCHEMA)
