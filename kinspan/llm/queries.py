@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinspan.llm.minhash_dedup import op5_minhash_dedup
 from kinspan.llm.suffix_dedup import op7_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_minhash_dedup": op5_minhash_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
     }
 

@@ -181,7 +181,7 @@ def dedup_substrings(docs: DataFrame, length: int = 100, with_text: bool = True)
 
     shared = marks.filter("open and not again")
     variants = by_document(shared, "anchor", "salt")
-    if shared.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
+    if shared.count() <= BROADCAST_PHRASES:
         variants = F.broadcast(variants)
     windows = known.join(variants, F.col("doc_id") == F.col("of")).select("doc_id", "text", "marks").mapInArrow(_windows(length), WINDOW_SCHEMA)
     # heavy triggers' strings are ordered within each salt first, and the first ones of the salts among themselves
