@@ -31,11 +31,12 @@ POSITION_BITS = 21
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Trigger hashes that one document in 64 shows this often are dealt over SALTS groups; at most HEAVY of them.
 HEAVY, HEAVY_LEAST, SALTS, SAMPLE = 1024, 64, 32, 64
-#: Up to so many phrases that share trigger bytes are broadcast to their texts (24 bytes each); more are joined by a shuffle.
-BROADCAST_PHRASES = 1_000_000
 
-PARSE_SCHEMA = "doc_id long, start int, n_win int, salt int, anchor long, phrase long"
-WINDOW_SCHEMA = "doc_id long, start int, anchor long, digest long, salt int"
+#: A phrase's place: its start * PLACE + its number of strings - 1; below zero (-1 - place) if its trigger is heavy.
+PLACE = 1024
+
+PARSE_SCHEMA = "doc_id long, place long, anchor long, phrase long"
+WINDOW_SCHEMA = "doc_id long, start int, key long, digests array<long>"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
@@ -91,32 +92,37 @@ def _parse(length: int, heavy: list[int]) -> Callable[[Iterator[pa.RecordBatch]]
                     if not len(s):
                         continue
                     d = np.searchsorted(ends, s, side="right")
-                    doc, anchor = ids[i + d], anchor.view(np.int64)
+                    doc, anchor = ids[i + d], anchor.view(np.int64).copy()
                     start = s + cut - (offsets[i + d] - first if j - i > 1 else 0)
-                    salt = np.zeros(len(s), np.int32)
+                    place = start * PLACE + n - 1
                     if len(hot):
                         is_hot = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
-                        salt[is_hot] = 1 + doc[is_hot] % SALTS
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(salt), pa.array(anchor), pa.array(phrase.view(np.int64))], ["doc_id", "start", "n_win", "salt", "anchor", "phrase"])
+                        anchor[is_hot] ^= doc[is_hot] % SALTS
+                        place[is_hot] = -1 - place[is_hot]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place), pa.array(anchor), pa.array(phrase.view(np.int64))], ["doc_id", "place", "anchor", "phrase"])
 
     return run
 
 
 def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Hash each string of the marked phrases: rows (doc_id, text, marks: start, n_win, anchor, salt)."""
+    """Hash each string of the marked phrases: rows (doc_id, text, marks: place, anchor).
+
+    A phrase gives one row under its trigger's hash with the digests of its strings in order; one with a heavy trigger
+    gives a row for each string under that string's own digest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, int, int]] = []
+            out: list[tuple[int, int, int, list[int]]] = []
             for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 b = text.encode()
-                for start, n_win, anchor, salt in {(m["start"], m["n_win"], m["anchor"], m["salt"]) for m in marks}:
-                    for pos in range(start, start + n_win):
-                        digest = hashlib.blake2b(b[pos : pos + length], digest_size=8).digest()
-                        out.append((doc, pos, anchor, int.from_bytes(digest, "little", signed=True), salt))
+                for place, anchor in {(m["place"], m["anchor"]) for m in marks}:
+                    start, n = divmod(place if place >= 0 else -1 - place, PLACE)
+                    digests = [int.from_bytes(hashlib.blake2b(b[p : p + length], digest_size=8).digest(), "little", signed=True) for p in range(start, start + n + 1)]
+                    out += [(doc, start, anchor, digests)] if place >= 0 else [(doc, start + k, d, [d]) for k, d in enumerate(digests)]
             if out:
-                doc, pos, anchor, digest, salt = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), pa.array(salt, pa.int32())], ["doc_id", "start", "anchor", "digest", "salt"])
+                doc, start, key, digests = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(key, pa.int64()), pa.array(digests, pa.list_(pa.int64()))], ["doc_id", "start", "key", "digests"])
 
     return run
 
@@ -157,8 +163,8 @@ def dedup_substrings(docs: DataFrame, length: int = 100, with_text: bool = True)
     without doc_id has no place in the order: it is returned whole and doesn't make others repeated. An empty table
     gives no rows.
     """
-    if length <= TRIGGER:
-        raise ValueError(f"length must be over {TRIGGER}")
+    if not TRIGGER < length < TRIGGER + PLACE:
+        raise ValueError(f"length must be over {TRIGGER} and below {TRIGGER + PLACE}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     known = docs.filter("doc_id is not null")
 
@@ -166,32 +172,34 @@ def dedup_substrings(docs: DataFrame, length: int = 100, with_text: bool = True)
     heavy = [r[0] for r in sample.groupBy("anchor").count().filter(F.col("count") >= HEAVY_LEAST).orderBy(F.desc("count"), "anchor").limit(HEAVY).collect()]
 
     parse = known.mapInArrow(_parse(length, heavy), PARSE_SCHEMA)
-    order = Window.partitionBy("anchor", "salt").orderBy("phrase", "doc_id", "start")
-    group = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    phrase = Window.partitionBy("anchor", "phrase")
+    place = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
+    trigger = Window.partitionBy("anchor").orderBy("phrase", "doc_id", place).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    again, open_ = F.col("rank") > 1, (F.col("least") != F.col("most")) | (F.col("place") < 0)
     marks = stage(
-        parse.withColumn("place", F.rank().over(Window.partitionBy("anchor", "salt", "phrase").orderBy("doc_id", "start")))
-        .withColumns({"least": F.min("phrase").over(group), "most": F.max("phrase").over(group)})
-        .select("doc_id", "start", "n_win", "anchor", "salt", (F.col("place") > 1).alias("again"), ((F.col("least") != F.col("most")) | (F.col("salt") > 0)).alias("open"))
-        .filter("again or open"),
+        parse.withColumns({"least": F.min("phrase").over(trigger), "most": F.max("phrase").over(trigger)})
+        .withColumn("rank", F.rank().over(phrase.orderBy("doc_id", place)))
+        .filter(again | open_)
+        .select("doc_id", "place", F.when(~again, F.col("anchor")).alias("anchor")),
         "marks",
     )
 
-    def by_document(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "n_win", *more)).alias("marks"))
-
-    shared = marks.filter("open and not again")
-    variants = by_document(shared, "anchor", "salt")
-    if shared.count() <= BROADCAST_PHRASES:
-        variants = F.broadcast(variants)
-    windows = known.join(variants, F.col("doc_id") == F.col("of")).select("doc_id", "text", "marks").mapInArrow(_windows(length), WINDOW_SCHEMA)
-    # heavy triggers' strings are ordered within each salt first, and the first ones of the salts among themselves
-    near = Window.partitionBy("anchor", "digest", "salt").orderBy("doc_id", "start")
-    ranked = stage(windows.withColumn("place", F.rank().over(near)).filter("place > 1 or salt > 0"), "ranked")
-    leads = ranked.filter("place = 1").withColumn("place", F.rank().over(Window.partitionBy("anchor", "digest").orderBy("doc_id", "start")))
-    later = ranked.unionByName(leads).filter("place > 1").select("doc_id", "start", F.lit(1).alias("n_win"))
-
-    spans = by_document(marks.filter("again").select("doc_id", "start", "n_win").unionByName(later))
-    return docs.join(spans, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "marks").mapInArrow(_cut(length, with_text), RESULT_SCHEMA)
+    def by_document(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct(*columns)).alias("marks"))
+
+    # both joins below read the same exchange of the texts
+    texts = known.repartition("doc_id")
+    same = F.col("doc_id") == F.col("of")
+    windows = texts.join(by_document(marks.filter("anchor is not null"), "place", "anchor"), same).select("doc_id", "text", "marks").mapInArrow(_windows(length), WINDOW_SCHEMA)
+    strings = windows.repartition("key").select("key", "doc_id", "start", F.posexplode("digests").alias("k", "digest"))
+    strings = strings.select("key", "digest", "doc_id", (F.col("start") + F.col("k")).alias("start"))
+    later = strings.withColumn("rank", F.rank().over(Window.partitionBy("key", "digest").orderBy("doc_id", "start"))).filter("rank > 1").select("doc_id", "start", F.lit(1).alias("n_win"))
+
+    repeated = marks.filter("anchor is null").select("doc_id", F.floor(place / F.lit(PLACE)).cast("int").alias("start"), (F.pmod(place, F.lit(PLACE)) + 1).cast("int").alias("n_win"))
+    spans = by_document(repeated.unionByName(later), "start", "n_win")
+    cut = texts.join(spans, same, "left").select("doc_id", "text", "marks").mapInArrow(_cut(length, with_text), RESULT_SCHEMA)
+    nameless = docs.filter("doc_id is null").withColumn("marks", F.lit(None).cast("array<struct<start: int, n_win: int>>"))
+    return cut.unionByName(nameless.mapInArrow(_cut(length, with_text), RESULT_SCHEMA))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
