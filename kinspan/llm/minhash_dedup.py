@@ -8,8 +8,10 @@ equal coordinates is concentrated about the Jaccard similarity as for independen
 Documents with the same set are one representative from the start. BANDS bands of ROWS coordinates make buckets; a pair
 at similarity 0.8 meets in none of them with probability 1.3e-7. Within a bucket no pairs are enumerated at first:
 each member is compared with the bucket's smallest member only, the best such link is confirmed on the full sets, and
-components are formed. Pairs that are still in different components but share a bucket are then compared as well, so
-that no link between components is lost; pairs within one component needn't be.
+components are formed; then components that meet in a bucket are compared by their best pair. All pairs that still are
+in different components but share a bucket come last, so that no link between components is lost; pairs within one
+component needn't be compared. What keeps the last step from growing with the square of a group is a bound that needs no
+pairs: a document's shingles that no other open document has are in no intersection.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BANDS, ROWS = 40, 5
 T = BANDS * ROWS
 #: A pair goes on to confirmation if this share of coordinates agrees: 0.18 (6 standard deviations) below the threshold.
 SLACK = 0.18
+#: Rounds in which components that share a bucket are compared by one pair each, before all remaining pairs are.
+TURNS = 2
 BASE = 0x9E3779B97F4A7C15
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, sig_a long, sig_b long, bands array<long>, sketch binary"
@@ -146,6 +150,20 @@ def _sketches(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (doc_id, text): the set of hashed shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for i, j in pieces(offsets, CHUNK_BYTES):
+                h, r = shingles(data, offsets[i : j + 1], width)
+                at = np.r_[0, np.cumsum(np.bincount(r, minlength=j - i))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["doc_id", "shingles"])
+
+    return run
+
+
 def _agreeing(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs (a, b, sketch_a, sketch_b) of which at least that share of coordinates agrees."""
 
@@ -215,16 +233,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     stars = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     best = agreeing(stars).groupBy("b").agg(F.max_by("a", F.col("agree") * F.lit(1 << 32).cast("long") - F.pmod("a", F.lit(1 << 32))).alias("a"))
-    first_links = stage(confirmed(best.select("a", "b")), "links")
-    first = components(first_links)
-
-    placed = members.join(first, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    placed = stage(placed.join(open_, "bucket"), "open")
-    other = placed.withColumnsRenamed({"rep": "rep_b", "n": "n_b", "component": "component_b"})
-    fits = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+    links = stage(confirmed(best.select("a", "b")), "links")
+    for turn in range(TURNS + 1):
+        labels = components(links)
+        placed = members.select("bucket", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by("rep", F.xxhash64("component", F.lit(turn))).alias("centre")).filter("x <> y").select("bucket", "centre")
+        placed = stage(placed.join(open_, "bucket"), "open")
+        if turn == TURNS:
+            break
+        # one pair for two components that meet in a bucket: the bucket's centre and the member that agrees best with it
+        meet = placed.filter("rep <> centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.min("component").alias("component_b"))
+        meet = meet.join(labels.withColumnsRenamed({"node": "a", "component": "component_a"}), "a", "left").withColumn("component_a", F.coalesce("component_a", "a")).filter("component_a <> component_b")
+        meet = stage(meet, "meet")
+        ranked = agreeing(meet.select("a", "b")).join(meet, ["a", "b"])
+        one = ranked.groupBy(F.least("component_a", "component_b"), F.greatest("component_a", "component_b")).agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("pair"))
+        more = stage(confirmed(one.select("pair.a", "pair.b")), "links")
+        drop_staged(placed)
+        drop_staged(meet)
+        if not more.limit(1).count():
+            break
+        links = stage(links.unionByName(more), "links")
+    if turn < TURNS:
+        placed = stage(members.select("bucket", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")), "open")
+    # a shingle that no other of these documents has is in no intersection, which bounds the similarity of every pair
+    left = placed.select(F.col("rep").alias("doc_id")).distinct()
+    own = texts.join(left, "doc_id").select("doc_id", "text").mapInArrow(_sets(width), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("shingle"))
+    lone = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("of"), F.min("doc_id").alias("doc_id")).filter("of = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
+    placed = placed.join(lone, F.col("rep") == F.col("doc_id"), "left").select("bucket", "rep", "n", "component", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+    placed = stage(placed.filter(100 * F.col("common") >= percent * F.col("n")), "open")
+    other = placed.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "common")))
+    met = F.least("common", "common_b")
+    fits = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & ((100 + percent) * met >= percent * (F.col("n") + F.col("n_b")))
     across = placed.join(other, "bucket").filter(fits).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
-    links = stage(first_links.unionByName(confirmed(agreeing(across).select("a", "b"))), "links")
+    links = stage(links.unionByName(confirmed(agreeing(across).select("a", "b"))), "links")
     drop_staged(members)
     drop_staged(texts)
     final = components(links)

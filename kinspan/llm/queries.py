@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinspan.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from kinspan.llm.language_id import op2_language_id
 from kinspan.llm.minhash_dedup import op5_minhash_dedup
+from kinspan.llm.quality import op8_quality
 from kinspan.llm.suffix_dedup import op7_suffix_dedup
+from kinspan.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_language_id": op2_language_id,
+        "op3_exact_dedup": op3_exact_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_quality": op8_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": OP3_SQL}

@@ -27,7 +27,7 @@ from kinspan.llm.common import CHUNK_BYTES, mix64, pieces, powers, read, stage,
 
 TRIGGER = 40
 #: Low bits of a trigger key that hold the position in the piece; a piece has at most that many bytes.
-POSITION_BITS = 21
+POSITION_BITS = 20
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Trigger hashes that one document in 64 shows this often are dealt over SALTS groups; at most HEAVY of them.
 HEAVY, HEAVY_LEAST, SALTS, SAMPLE = 1024, 64, 32, 64
