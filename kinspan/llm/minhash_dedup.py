@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspan.llm.common import CHUNK_BYTES, drop_staged, mix64, pieces, powers, read, stage, text_buffers
@@ -234,36 +234,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     best = agreeing(stars).groupBy("b").agg(F.max_by("a", F.col("agree") * F.lit(1 << 32).cast("long") - F.pmod("a", F.lit(1 << 32))).alias("a"))
     links = stage(confirmed(best.select("a", "b")), "links")
-    for turn in range(TURNS + 1):
-        labels = components(links)
-        placed = members.select("bucket", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by("rep", F.xxhash64("component", F.lit(turn))).alias("centre")).filter("x <> y").select("bucket", "centre")
-        placed = stage(placed.join(open_, "bucket"), "open")
-        if turn == TURNS:
-            break
+    labels = components(links)
+
+    def open_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rows with the component of each, and the buckets in which several components meet."""
+        with_label = rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+        return with_label, with_label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+
+    # a shingle that no other open document has is in no intersection, which bounds the similarity of every pair
+    placed, open_ = open_members(members.select("bucket", "rep", "n"))
+    left = stage(placed.join(open_, "bucket").select("bucket", "rep", "n"), "left")
+    own = texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    own = own.mapInArrow(_sets(width), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("shingle"))
+    lone = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("of"), F.min("doc_id").alias("doc_id")).filter("of = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
+    common = left.join(lone, F.col("rep") == F.col("doc_id"), "left").select("bucket", "rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+    left = stage(common.filter(100 * F.col("common") >= percent * F.col("n")), "left")
+
+    def can_link(other: str) -> Column:
+        """Whether the sizes and the bound allow the similarity of a row and its partner."""
+        sizes = 100 * F.least("n", f"n_{other}") >= percent * F.greatest("n", f"n_{other}")
+        return sizes & ((100 + percent) * F.least("common", f"common_{other}") >= percent * (F.col("n") + F.col(f"n_{other}")))
+
+    def partner(name: str) -> list[Column]:
+        return [F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "common")]
+
+    for turn in range(TURNS):
         # one pair for two components that meet in a bucket: the bucket's centre and the member that agrees best with it
-        meet = placed.filter("rep <> centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.min("component").alias("component_b"))
-        meet = meet.join(labels.withColumnsRenamed({"node": "a", "component": "component_a"}), "a", "left").withColumn("component_a", F.coalesce("component_a", "a")).filter("component_a <> component_b")
-        meet = stage(meet, "meet")
-        ranked = agreeing(meet.select("a", "b")).join(meet, ["a", "b"])
-        one = ranked.groupBy(F.least("component_a", "component_b"), F.greatest("component_a", "component_b")).agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("pair"))
+        placed, open_ = open_members(left)
+        placed = stage(placed.join(open_, "bucket"), "open")
+        centre = placed.groupBy("bucket").agg(F.min_by(F.struct(*partner("a")), F.struct(F.xxhash64("component", F.lit(turn)), "rep")).alias("c")).select("bucket", "c.*")
+        meet = placed.join(centre, "bucket").filter((F.col("component") != F.col("component_a")) & can_link("a"))
+        meet = stage(meet.select(F.col("rep_a").alias("a"), F.col("rep").alias("b"), F.least("component", "component_a").alias("x"), F.greatest("component", "component_a").alias("y")).distinct(), "meet")
+        one = agreeing(meet.select("a", "b")).join(meet, ["a", "b"]).groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("pair"))
         more = stage(confirmed(one.select("pair.a", "pair.b")), "links")
         drop_staged(placed)
         drop_staged(meet)
         if not more.limit(1).count():
             break
         links = stage(links.unionByName(more), "links")
-    if turn < TURNS:
-        placed = stage(members.select("bucket", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")), "open")
-    # a shingle that no other of these documents has is in no intersection, which bounds the similarity of every pair
-    left = placed.select(F.col("rep").alias("doc_id")).distinct()
-    own = texts.join(left, "doc_id").select("doc_id", "text").mapInArrow(_sets(width), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("shingle"))
-    lone = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("of"), F.min("doc_id").alias("doc_id")).filter("of = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
-    placed = placed.join(lone, F.col("rep") == F.col("doc_id"), "left").select("bucket", "rep", "n", "component", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
-    placed = stage(placed.filter(100 * F.col("common") >= percent * F.col("n")), "open")
-    other = placed.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "common")))
-    met = F.least("common", "common_b")
-    fits = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & ((100 + percent) * met >= percent * (F.col("n") + F.col("n_b")))
+        labels = components(links)
+
+    placed, open_ = open_members(left)
+    placed = stage(placed.join(open_, "bucket"), "open")
+    other = placed.select("bucket", *partner("b"))
+    fits = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & can_link("b")
     across = placed.join(other, "bucket").filter(fits).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
     links = stage(links.unionByName(confirmed(agreeing(across).select("a", "b"))), "links")
     drop_staged(members)
