@@ -93,7 +93,8 @@ def mix(docs: DataFrame, share: float = SHARE_OF_TOKENS, epochs: int = EPOCHS, s
     by_bucket = ordered.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("sum"))
     until = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = stage(by_bucket.withColumn("before", F.coalesce(F.sum("sum").over(until), F.lit(0))).drop("sum"), "buckets")
-    edge = starts.join(plan, list(LEVELS)).filter("before < rest").groupBy(*LEVELS).agg(F.max(F.struct("before", "bucket")).alias("edge"))
+    # written, so that its size is known where it is joined: a row for each leaf
+    edge = stage(starts.join(plan, list(LEVELS)).filter("before < rest").groupBy(*LEVELS).agg(F.max(F.struct("before", "bucket")).alias("edge")), "edges")
     placed = ordered.join(edge, list(LEVELS), "left")
     columns = ["doc_id", *LEVELS, "n_tokens"]
     inside = placed.filter(F.col("edge").isNull() | (F.col("bucket") != F.col("edge.bucket"))).select(*columns, (F.col("whole") + F.coalesce((F.col("bucket") < F.col("edge.bucket")).cast("int"), F.lit(0))).alias("copies"))
