@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         two = one.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
         return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(width, percent), "a long, b long")
 
-    stars = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    best = agreeing(stars).groupBy("b").agg(F.max_by("a", F.col("agree") * F.lit(1 << 32).cast("long") - F.pmod("a", F.lit(1 << 32))).alias("a"))
+    # the centre that a member shares most buckets with
+    stars = members.filter("rep <> centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"))
     links = stage(confirmed(best.select("a", "b")), "links")
     labels = components(links)
 
@@ -259,16 +260,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return [F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "common")]
 
     for turn in range(TURNS):
-        # one pair for two components that meet in a bucket: the bucket's centre and the member that agrees best with it
+        # one pair for two components that meet in a bucket: the bucket's centre and the member that shares most buckets with it
         placed, open_ = open_members(left)
         placed = stage(placed.join(open_, "bucket"), "open")
         centre = placed.groupBy("bucket").agg(F.min_by(F.struct(*partner("a")), F.struct(F.xxhash64("component", F.lit(turn)), "rep")).alias("c")).select("bucket", "c.*")
         meet = placed.join(centre, "bucket").filter((F.col("component") != F.col("component_a")) & can_link("a"))
-        meet = stage(meet.select(F.col("rep_a").alias("a"), F.col("rep").alias("b"), F.least("component", "component_a").alias("x"), F.greatest("component", "component_a").alias("y")).distinct(), "meet")
-        one = agreeing(meet.select("a", "b")).join(meet, ["a", "b"]).groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("pair"))
+        ends = [F.least("component", "component_a").alias("x"), F.greatest("component", "component_a").alias("y")]
+        meet = meet.groupBy(F.col("rep_a").alias("a"), F.col("rep").alias("b"), *ends).agg(F.count(F.lit(1)).alias("times"))
+        one = meet.groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), F.struct("times", "a", "b")).alias("pair"))
         more = stage(confirmed(one.select("pair.a", "pair.b")), "links")
         drop_staged(placed)
-        drop_staged(meet)
         if not more.limit(1).count():
             break
         links = stage(links.unionByName(more), "links")
