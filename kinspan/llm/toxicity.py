@@ -162,7 +162,7 @@ def score(found: list[tuple[float, str]], share: dict[str, float]) -> float:
     clean = 1.0 - FLOOR
     for w, kind in found:
         clean *= 1.0 - w * share[kind]
-    return 1.0 - clean
+    return 1.0 - clean if found else FLOOR
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
