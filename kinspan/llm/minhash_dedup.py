@@ -11,7 +11,9 @@ each member is compared with the bucket's smallest member only, the best such li
 components are formed; then components that meet in a bucket are compared by their best pair. All pairs that still are
 in different components but share a bucket come last, so that no link between components is lost; pairs within one
 component needn't be compared. What keeps the last step from growing with the square of a group is a bound that needs no
-pairs: a document's shingles that no other open document has are in no intersection.
+pairs: a document's shingles that no other open document has are in no intersection. Of the pairs that this and the
+sizes leave, parity bitmaps (Sandes, Teodoro and Melo, 2020) rule out most before they leave the join: each shingle
+flips one of PARITY_BITS bits, so two sets differ by as many shingles at least as their bitmaps by bits.
 """
 
 from __future__ import annotations
@@ -32,9 +34,10 @@ T = BANDS * ROWS
 SLACK = 0.18
 #: Rounds in which components that share a bucket are compared by one pair each, before all remaining pairs are.
 TURNS = 2
+PARITY_BITS = 512
 BASE = 0x9E3779B97F4A7C15
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, sig_a long, sig_b long, bands array<long>, sketch binary"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, sig_a long, sig_b long, bands array<long>, sketch binary, parity array<long>"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -113,7 +116,18 @@ def sketch(h: np.ndarray, r: np.ndarray, n_rows: int, t: int = T) -> np.ndarray:
     return s.reshape(n_rows, t)
 
 
+def parities(h: np.ndarray, r: np.ndarray, n_rows: int) -> np.ndarray:
+    """n_rows x PARITY_BITS / 64 words; each element flips one bit of its row."""
+    words = PARITY_BITS // 64
+    bit = mix64(h ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(PARITY_BITS)
+    out = np.zeros(n_rows * words, np.uint64)
+    np.bitwise_xor.at(out, r * words + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n_rows, words)
+
+
 def _sketches(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    words = PARITY_BITS // 64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
@@ -143,8 +157,9 @@ def _sketches(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                         *(pa.array(x) for x in sig),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64))),
                         pa.array([x.tobytes() for x in low], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * words, words, dtype=np.int32)), pa.array(parities(h, r, n).reshape(-1).view(np.int64))),
                     ],
-                    ["doc_id", "n_shingles", "sig_a", "sig_b", "bands", "sketch"],
+                    ["doc_id", "n_shingles", "sig_a", "sig_b", "bands", "sketch", "parity"],
                 )
 
     return run
@@ -212,7 +227,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     same = ["sig_a", "sig_b", "n_shingles"]
     reps = stage(known.groupBy(*same).agg(F.min("doc_id").alias("rep")), "reps")
-    chosen = stage(known.join(reps, [*same]).filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "bands", "sketch"), "chosen")
+    chosen = stage(known.join(reps, [*same]).filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "bands", "sketch", "parity"), "chosen")
 
     rows = chosen.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket", "centre")
@@ -249,15 +264,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     own = own.mapInArrow(_sets(width), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("shingle"))
     lone = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("of"), F.min("doc_id").alias("doc_id")).filter("of = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
     common = left.join(lone, F.col("rep") == F.col("doc_id"), "left").select("bucket", "rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
-    left = stage(common.filter(100 * F.col("common") >= percent * F.col("n")), "left")
+    left = stage(common.filter(100 * F.col("common") >= percent * F.col("n")).join(chosen.select("rep", "parity"), "rep"), "left")
 
     def can_link(other: str) -> Column:
-        """Whether the sizes and the bound allow the similarity of a row and its partner."""
+        """Whether the sizes and the bounds allow the similarity of a row and its partner.
+
+        It takes (100 + percent) * intersection >= percent * both sizes, and both sizes are twice the intersection and the difference.
+        """
+        both = F.col("n") + F.col(f"n_{other}")
         sizes = 100 * F.least("n", f"n_{other}") >= percent * F.greatest("n", f"n_{other}")
-        return sizes & ((100 + percent) * F.least("common", f"common_{other}") >= percent * (F.col("n") + F.col(f"n_{other}")))
+        differ = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col(f"parity_{other}")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+        return sizes & ((100 + percent) * F.least("common", f"common_{other}") >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both)
 
     def partner(name: str) -> list[Column]:
-        return [F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "common")]
+        return [F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "common", "parity")]
 
     for turn in range(TURNS):
         # one pair for two components that meet in a bucket: the bucket's centre and the member that shares most buckets with it

@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from kinspan.llm.graph import components
-from kinspan.llm.minhash_dedup import T, near_duplicates, op5_minhash_dedup, sketch
+from kinspan.llm.minhash_dedup import T, near_duplicates, op5_minhash_dedup, parities, sketch
 
 SCHEMA = "doc_id long, text string, rep string, bucket int"
 
@@ -90,3 +90,14 @@ def test_query_on_tables(spark):
     got = result(op5_minhash_dedup(spark, "/root/testdata/sf0.01"))
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     assert got == brute([tuple(x) for x in docs], 4)
+
+
+def test_parity_bitmaps_differ_by_no_more_bits_than_sets_by_elements():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 900).astype(np.uint64)
+    for gone in (0, 1, 40, 500):
+        other = np.r_[base[gone:], rng.integers(0, 2**63, gone // 2).astype(np.uint64)]
+        x, y = (parities(h, np.zeros(len(h), np.int64), 1)[0] for h in (base, other))
+        bits = sum(int(v).bit_count() for v in x ^ y)
+        assert bits <= gone + gone // 2 and (bits > 0) == (gone > 0)
+    assert not parities(base[:0], np.zeros(0, np.int64), 2).any()
