@@ -19,7 +19,6 @@ from kinspan.plans.views import er_part, keyed, processed, represented, truth_pa
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-CAP = 500
 PAIR = B.PAIR
 
 SCRIPT_ROWS = [("a", "राम मार्केटिंग"), ("b", "Tata Motors"), ("c", "শক্তি"), ("d", "Tech Food પ્રાઇવેટ"), ("e", "12-34 !"), ("f", None), ("g", "ਗੁਰੂ ਨਾਨਕ"), ("h", "குளோபல்"), ("i", "కృష్ణా"), ("j", "ಮಾಡರ್ನ್"), ("k", "ശക്തി"), ("l", "ଶ୍ରୀ ରାମ"), ("m", "Москва")]
@@ -55,12 +54,13 @@ def keys(spark: SparkSession, sf: str, labels: tuple[str, ...] = B.LABELS) -> Da
     return B.long_keys(keyed(spark, sf), labels)
 
 
-def candidates(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
+def candidates(spark: SparkSession, sf: str, cap: int | None = None) -> DataFrame:
+    """All pairs of all blocks; a cap is given only where the query is about the cap."""
     return B.candidate_pairs(keys(spark, sf), cap)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Capped pairs with a transparent score and their label."""
+    """Candidate pairs with a transparent score and their label."""
     both = X.with_entities(candidates(spark, sf), represented(spark, sf))
     made = X.name_features() | X.address_features()
     p = F.round(0.7 * made["name_token_jaccard"] + 0.3 * made["address_token_jaccard"], 6)
@@ -590,7 +590,7 @@ def gbt_rows(spark, sf):
     """Held-out probabilities of the boosted matcher; SQL cannot express the fit."""
     from kinspan.operators.model import Matcher
 
-    pairs = supervised.label_pairs(X.pair_features(candidates(spark, sf, 100), represented(spark, sf)), truth_pairs(spark, sf))
+    pairs = supervised.label_pairs(X.pair_features(candidates(spark, sf), represented(spark, sf)), truth_pairs(spark, sf))
     dealt = supervised.split(pairs)
     model = Matcher(iterations=10).fit(dealt.filter("split = 'train'"))
     return model.predict_proba(dealt.filter("split = 'validation'")).select(*PAIR, "label", "probability")
