@@ -104,20 +104,24 @@ def every(df: DataFrame, key: str, step: int) -> DataFrame:
     return ranged.withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy(key))).filter((F.col("row") - 1) % step == 0).drop("part", "row")
 
 
-def hard_negatives(processed: DataFrame, truth: DataFrame, least: int = 4, most_rows: int = 200, seed: int = 42) -> DataFrame:
-    """One non-matching candidate for each source1 entity with a country and a longer name token in common.
+def hard_negatives(processed: DataFrame, truth: DataFrame, least: int = 4, chunk: int = 1000, seed: int = 42) -> DataFrame:
+    """One non-matching candidate for each source1 entity with a country and a longer name token in common: the least by md5 of the pair.
 
-    Tokens that more than most_rows entities share are left to rarer ones, so no token makes a quadratic block.
+    Candidates of a token are met as arrays of about `chunk`, dealt by hash, and each gives its least, so no row a pair is made;
+    the hashing itself still grows with the square of a token's entities.
     """
     tokens = F.array_distinct(F.filter(F.coalesce("business_name_tokens", F.array().cast("array<string>")), lambda t: F.length(t) >= least))
     long = processed.select("source", "entity_id", "country_normalized", F.explode(tokens).alias("token"))
-    rare = long.groupBy("country_normalized", "token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_rows).select("country_normalized", "token")
-    long = long.join(rare, ["country_normalized", "token"])
-    one = long.filter("source = 'source1'").select("country_normalized", "token", F.col("entity_id").alias(PAIR[0]))
-    two = long.filter("source <> 'source1'").select("country_normalized", "token", F.col("entity_id").alias(PAIR[1]), F.col("source").alias(PAIR[2]))
-    pairs = one.join(two, ["country_normalized", "token"]).select(*PAIR).distinct().join(truth.select(*PAIR[:2]), PAIR[:2], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(PAIR[0]).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *PAIR[:2])), PAIR[1]))
-    return pairs.withColumn("rank", rank).filter("rank = 1").drop("rank")
+    by = ["country_normalized", "token"]
+    true = truth.groupBy(PAIR[0]).agg(F.collect_set(PAIR[1]).alias("true"))
+    one = long.filter("source = 'source1'").select(*by, F.col("entity_id").alias(PAIR[0])).join(true, PAIR[0], "left")
+    two = long.filter("source <> 'source1'").select(*by, F.col("entity_id").alias("id"), "source")
+    sizes = two.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
+    dealt = two.join(sizes, by).groupBy(*by, F.pmod(F.xxhash64("id"), F.col("chunks")).alias("part")).agg(F.collect_list(F.struct("id", "source")).alias("others"))
+    wrong = F.filter("others", lambda x: ~F.coalesce(F.array_contains("true", x["id"]), F.lit(False)))
+    nearest = F.array_min(F.transform(wrong, lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), PAIR[0], x["id"])).alias("md5"), x["id"].alias("id"), x["source"].alias("source"))))
+    best = one.join(dealt, by).select(PAIR[0], nearest.alias("b")).filter("b is not null").groupBy(PAIR[0]).agg(F.min("b").alias("b"))
+    return best.select(PAIR[0], F.col("b.id").alias(PAIR[1]), F.col("b.source").alias(PAIR[2]))
 
 
 def transliteration_audit(df: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:

@@ -1,5 +1,8 @@
 """Large blocks and frequent tokens: nothing is left out."""
 
+from hashlib import md5
+
+from kinspan.operators.profile import hard_negatives
 from kinspan.plans.queries import QUERIES
 
 
@@ -16,3 +19,14 @@ def test_blocks_of_more_than_500_pairs_are_kept(spark, tmp_path):
     assert got["C"] == (1800, 30)
     assert QUERIES["q_features29"](spark, sf).count() == 1800
     assert QUERIES["q_blocking_recall"](spark, sf).first().recall == 1.0
+
+
+def test_frequent_tokens_give_hard_negatives(spark):
+    rows = [(f"source{k % 3 + 1}", f"S{k % 3 + 1}-{k}", "india", ["acme"]) for k in range(300)]  # one token of 300 entities
+    records = spark.createDataFrame(rows, "source string, entity_id string, country_normalized string, business_name_tokens array<string>")
+    ones, others = [f"S1-{k}" for k in range(0, 300, 3)], [f"S{k % 3 + 1}-{k}" for k in range(300) if k % 3]
+    order = {a: sorted(others, key=lambda b: (md5(f"42|{a}|{b}".encode()).hexdigest(), b)) for a in ones}
+    truth = spark.createDataFrame([(a, order[a][0], f"source{order[a][0][1]}") for a in ones], "source1_entity_id string, candidate_entity_id string, candidate_source string")
+    for chunk in (7, 1000):
+        got = {r[0]: (r[1], r[2]) for r in hard_negatives(records, truth, chunk=chunk).collect()}
+        assert got == {a: (order[a][1], f"source{order[a][1][1]}") for a in ones}
