@@ -24,8 +24,11 @@ SECRET_NAMES = "password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?k
 HARMLESS = "commit|sha1|sha256|md5|checksum|hash|uuid|isbn|phone|tel|order|version|build|invoice|id"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur|qu|ei|un|ie|ge|la|el|os"
 
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=-]{{{LEAST}}})[A-Za-z+/_-]*+[0-9][A-Za-z0-9+/_=-]*+"
-ASSIGNED = rf"(?<=(?:password|passwd|secret|token|api_key|apikey)[=:])[^\s\"'<>]{{6,}}+"
+#: '=' ends a run, but for one or two as padding.
+_RUN = "[A-Za-z0-9+/_-]"
+_PADDING = "={1,2}(?![A-Za-z0-9+/_=-])"
+CANDIDATE = rf"(?<!{_RUN})(?={_RUN}{{{LEAST}}}|{_RUN}{{{LEAST - 2},}}{_PADDING})[A-Za-z+/_-]*+[0-9]{_RUN}*+(?:{_PADDING})?"
+ASSIGNED = rf"(?<=(?i:{SECRET_NAMES})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[^\s\"'<>]{{6,}}+"
 PATTERN = f"(?:{ASSIGNED})|(?:{CANDIDATE})"
 
 FEATURES = ["length", "upper", "lower", "digit", "other", "transitions", "distinct", "coverage", "hexadecimal", "numeric", "path", "address", "assigned", "named", "harmless", "quoted", "prefix"]
