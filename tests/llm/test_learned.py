@@ -1,6 +1,11 @@
 """Held-out accuracy and edge cases of the learned operators."""
 
-from kinspan.llm.language_id import identify, op2_language_id
+import re
+import unicodedata
+
+import numpy as np
+
+from kinspan.llm.language_id import DISCOUNT, ORDERS, Model, Scorer, identify, op2_language_id, words_of
 from kinspan.llm.quality import op8_quality, score_quality
 from kinspan.llm.secret_scan import candidates, scan
 from kinspan.llm.toxicity import FLOOR, Matcher, budget, op1_toxicity, score_toxicity
@@ -47,9 +52,56 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
 
 
+def test_words_are_letters_and_marks():
+    text = "தமிழ் ½ ² Ⅷ hello_wörld2x naïve e\u0301t \U0001d400x 12"
+    chars = ["L" if unicodedata.category(c)[0] == "L" else "M" if unicodedata.category(c)[0] == "M" else " " for c in text.lower()]
+    assert words_of(text) == [text.lower()[m.start() : m.end()] for m in re.finditer("L[LM]*", "".join(chars))]
+
+
+def brute_evidence(model, word):
+    """Letters that no n-gram of a longer order covers go down, one by one rather than in runs."""
+    if word in model.rows[0]:
+        return model.evidence[model.rows[0][word]].astype(float)
+    edged, total, weight = f"^{word}$", np.zeros(len(model.langs)), 1.0
+    free = [True] * len(edged)
+    for n in ORDERS:
+        weight *= DISCOUNT
+        covered = []
+        for i in range(len(edged) - n + 1):
+            gram = edged[i : i + n]
+            if all(free[i : i + n]) and (n > 1 or 0 < i < len(edged) - 1) and gram in model.rows.get(n, {}):
+                total += model.evidence[model.rows[n][gram]] * weight
+                covered += range(i, i + n)
+        for i in covered:
+            free[i] = False
+    return total
+
+
+def test_back_off_matches_brute_force():
+    one = Model(["a", "b"], {0: {}, 4: {"^hel": 0}, 3: {"^he": 0}, 2: {"^h": 0}, 1: {"h": 0}}, np.array([[1.0, -1.0]]))
+    assert list(one.unseen("hello")) == [0.5, -0.5] and one.unseen("xyz") is None
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcé"), rng.integers(1, 9)))
+    rows, k = {n: {} for n in (0, *ORDERS)}, 0
+    for n in rows:
+        for w in {word() for _ in range(60)}:
+            edged = f"^{w}$" if n > 1 else w
+            rows[n][edged[:n] if n else w], k = k, k + 1
+    model = Model(["a", "b", "c"], rows, rng.normal(size=(k, 3)))
+    texts = [" ".join(word() for _ in range(rng.integers(1, 40))) for _ in range(50)] + ["", None, "?!", "abc " * 300]
+    total, said, words = Scorer(model).sums(texts)
+    for t, got, n in zip(texts, total, words, strict=True):
+        want = sum((brute_evidence(model, w) for w in (t or "").split() if w.isalpha()), np.zeros(3))
+        assert np.allclose(got, want) and n == len([w for w in (t or "").split() if w.isalpha()])
+    lang, score = Scorer(model).predict(texts)
+    assert lang[50:53] == ["und"] * 3 and not score[50:53].any() and ((0 <= score) & (score <= 1)).all()
+
+
 def test_language_odd_rows(spark):
-    got = identify(spark.createDataFrame([*ODD, (7, "12 34 !", "en", "s", 0.0)], DOCS)).collect()
-    assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (1, 2, 7)} == {1: "und", 2: "und", 7: "und"}
+    got = identify(spark.createDataFrame([*ODD, (7, "12 34 !", "en", "s", 0.0), (8, "½ ² Ⅷ", "en", "s", 0.0)], DOCS)).collect()
+    assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (1, 2, 7, 8)} == dict.fromkeys((1, 2, 7, 8), "und")
+    tie = [(k, "same words here", lang, "s", 0.0) for k, lang in ((1, "b"), (2, "a"), (3, "a"), (4, "b"))]
+    assert {r.lang_pred for r in identify(spark.createDataFrame(tie, DOCS)).collect()} == {"a"}
     assert identify(spark.createDataFrame([], DOCS)).collect() == []
 
 
