@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Used only where spark.checkpoint.dir is unset and everything runs in one process, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/kinspan"
 
 #: ASCII white space as the contracts state it: space and \t \n \v \f \r.
@@ -26,15 +27,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine without it, a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or LOCAL_SHARED_DIR
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and lost executors don't lose the rows."""
+    """Write df to the shared folder and read it back: cuts lineage, and lost executors don't lose the rows.
+
+    What drop_staged() doesn't delete earlier goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

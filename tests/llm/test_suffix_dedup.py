@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from kinspan.llm.suffix_dedup import dedup_substrings, op7_suffix_dedup
+from kinspan.llm.suffix_dedup import dedup_substrings, op7_suffix_dedup, suffix_array
 
 SCHEMA = "doc_id long, text string, marks string, anchor long"
 
@@ -57,10 +57,38 @@ def test_heavy_triggers_are_salted(spark, monkeypatch):
 
     monkeypatch.setattr(m, "HEAVY_LEAST", 2)
     monkeypatch.setattr(m, "SAMPLE", 1)
+    monkeypatch.setattr(m, "GROUPS", 1 << 6)
     rows = corpus(13)
     assert result(dedup_substrings(spark.createDataFrame([(*x, None, None) for x in rows], SCHEMA))) == brute(rows)
 
 
+def test_groups_beyond_a_suffix_array_are_cut(spark, monkeypatch):
+    import kinspan.llm.suffix_dedup as m
+
+    monkeypatch.setattr(m, "AT_ONCE", 3)
+    rows = corpus(17)
+    assert result(dedup_substrings(spark.createDataFrame([(*x, None, None) for x in rows], SCHEMA))) == brute(rows)
+
+
+def test_suffix_array_is_the_sorted_order():
+    phrases = [b"abracadabra", b"cadabrac", b"abra", b"bracad"]
+    phrase, offset, order, same = suffix_array(phrases, 4)
+    want = [(i, k) for i, p in enumerate(phrases) for k in range(len(p) - 3)]
+    assert list(zip(phrase.tolist(), offset.tolist())) == want
+    cut = [phrases[i][k : k + 4] for i, k in want]
+    assert order.tolist() == sorted(range(len(cut)), key=lambda x: (cut[x], x))
+    assert same.tolist() == [n > 0 and cut[order[n]] == cut[order[n - 1]] for n in range(len(cut))]
+
+
+def test_different_texts_with_one_doc_id(spark):
+    a, b = "first " * 40 + "of the two " * 30, "second text " * 50
+    rows = [(1, a), (1, b), (2, b + "first " * 40), (2, "short"), (3, a)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in dedup_substrings(spark.createDataFrame([(*x, None, None) for x in rows], SCHEMA)).collect())
+    alone = {t: brute([(1, t)])[1][1] for t in (a, b)}
+    after = brute([(1, a), (2, b), (3, b + "first " * 40)])[3][1]
+    assert got == sorted([(1, len(a), alone[a]), (1, len(b), alone[b]), (2, len(rows[2][1]), after), (2, 5, 0), (3, len(a), len(a))])
+
+
 def test_empty_null_ids_and_repeated_rows(spark):
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(1, "y" * 150), (1, "y" * 150), (None, "z" * 150), (None, "z" * 150)]
