@@ -13,7 +13,8 @@ in different components but share a bucket come last, so that no link between co
 component needn't be compared. What keeps the last step from growing with the square of a group is a bound that needs no
 pairs: a document's shingles that no other open document has are in no intersection. Of the pairs that this and the
 sizes leave, parity bitmaps (Sandes, Teodoro and Melo, 2020) rule out most before they leave the join: each shingle
-flips one of PARITY_BITS bits, so two sets differ by as many shingles at least as their bitmaps by bits.
+flips one of PARITY_BITS bits, so two sets differ by as many shingles at least as their bitmaps by bits. The members of
+a bucket meet by blocks of BLOCK or so, each pair of blocks by itself.
 """
 
 from __future__ import annotations
@@ -35,9 +36,11 @@ SLACK = 0.18
 #: Rounds in which components that share a bucket are compared by one pair each, before all remaining pairs are.
 TURNS = 2
 PARITY_BITS = 512
+#: Members of a bucket that meet at a time, and the share of all rows (one in SHARE) from which on a class is settled by broadcast.
+BLOCK, SHARE = 256, 10_000
 BASE = 0x9E3779B97F4A7C15
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, sig_a long, sig_b long, bands array<long>, sketch binary, parity array<long>"
+SKETCH_SCHEMA = "doc_id long, text_hash long, n_shingles long, sig_a long, sig_b long, bands array<long>, sketch binary, parity array<long>"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -130,8 +133,8 @@ def _sketches(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
-            data, offsets = text_buffers(batch.column(1))
+            ids, hashes = batch.column(0).cast(pa.int64()), batch.column(1)
+            data, offsets = text_buffers(batch.column(2))
             for i, j in pieces(offsets, CHUNK_BYTES):
                 n = j - i
                 h, r = shingles(data, offsets[i : j + 1], width)
@@ -153,13 +156,14 @@ def _sketches(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[i:j],
+                        hashes[i:j],
                         pa.array(size, pa.int64()),
                         *(pa.array(x) for x in sig),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64))),
                         pa.array([x.tobytes() for x in low], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * words, words, dtype=np.int32)), pa.array(parities(h, r, n).reshape(-1).view(np.int64))),
                     ],
-                    ["doc_id", "n_shingles", "sig_a", "sig_b", "bands", "sketch", "parity"],
+                    ["doc_id", "text_hash", "n_shingles", "sig_a", "sig_b", "bands", "sketch", "parity"],
                 )
 
     return run
@@ -218,21 +222,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Takes doc_id and text; other columns are ignored. Returns doc_id, n_shingles, component_id (the smallest doc_id
     that links reach, its own included) and kept (doc_id = component_id), a row for each row. A null or blank text has
     no shingles and is linked with nothing. A text of fewer than `width` words has one shingle. Equal sets are one
-    class from the start. Rows that repeat a doc_id share its component if their texts are equal. A row without doc_id
-    is linked with nothing, has a null component and is kept. An empty table gives no rows.
+    class from the start. Different texts with the same doc_id are different documents, each with its own links. A row
+    without doc_id is linked with nothing, has a null component and is kept. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sketched = stage(docs.mapInArrow(_sketches(width), SKETCH_SCHEMA), "sketches")
-    known = sketched.filter("doc_id is not null and n_shingles > 0")
+    sketched = stage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sketches(width), SKETCH_SCHEMA), "sketches")
+    linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    known = sketched.filter(linkable)
 
+    # a class for each set, numbered in the order of its smallest doc_id: `rep` stands for it from here on
     same = ["sig_a", "sig_b", "n_shingles"]
-    reps = stage(known.groupBy(*same).agg(F.min("doc_id").alias("rep")), "reps")
-    chosen = stage(known.join(reps, [*same]).filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "bands", "sketch", "parity"), "chosen")
+    one = [F.first(c).alias(c) for c in ("bands", "sketch", "parity")]
+    classes = known.groupBy(*same).agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.count(F.lit(1)).alias("rows"), *one).select(*same, "at.*", "rows", "bands", "sketch", "parity")
+    by_id = ["doc_id", "sig_a", "sig_b"]
+    chosen = stage(classes.repartitionByRange(*by_id).sortWithinPartitions(*by_id).withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     rows = chosen.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket", "centre")
     members = stage(rows.join(shared, "bucket"), "members")
-    texts = stage(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    # rows that share a doc_id may be of several classes
+    wanted = chosen.select("rep", "doc_id", "text_hash").join(members.select("rep").distinct(), "rep")
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["rep"])
+    texts = stage(texts.select(F.col("rep").alias("doc_id"), "text"), "texts")
 
     signs = chosen.select("rep", "sketch")
 
@@ -253,18 +264,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = components(links)
 
     def open_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """rows with the component of each, and the buckets in which several components meet."""
+        """rows with the component of each, and the buckets in which several components meet, with their members."""
         with_label = rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-        return with_label, with_label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+        buckets = with_label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
+        return with_label, buckets.filter("x <> y").select("bucket", "members")
 
     # a shingle that no other open document has is in no intersection, which bounds the similarity of every pair
     placed, open_ = open_members(members.select("bucket", "rep", "n"))
-    left = stage(placed.join(open_, "bucket").select("bucket", "rep", "n"), "left")
-    own = texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    first = stage(placed.join(open_, "bucket").select("bucket", "rep", "n"), "left")
+    own = texts.join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
     own = own.mapInArrow(_sets(width), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("shingle"))
     lone = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("of"), F.min("doc_id").alias("doc_id")).filter("of = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
-    common = left.join(lone, F.col("rep") == F.col("doc_id"), "left").select("bucket", "rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+    common = first.join(lone, F.col("rep") == F.col("doc_id"), "left").select("bucket", "rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
     left = stage(common.filter(100 * F.col("common") >= percent * F.col("n")).join(chosen.select("rep", "parity"), "rep"), "left")
+    drop_staged(first)
+    drop_staged(members)
 
     def can_link(other: str) -> Column:
         """Whether the sizes and the bounds allow the similarity of a row and its partner.
@@ -295,19 +309,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         links = stage(links.unionByName(more), "links")
         labels = components(links)
 
+    # a bucket is dealt over pairs of blocks of its members, so that none is held by one task
     placed, open_ = open_members(left)
-    placed = stage(placed.join(open_, "bucket"), "open")
-    other = placed.select("bucket", *partner("b"))
-    fits = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & can_link("b")
-    across = placed.join(other, "bucket").filter(fits).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
+    blocks = F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int")
+    placed = stage(placed.join(open_, "bucket").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")}), "open")
+    one = placed.select("bucket", *[c for c in ("rep", "n", "component", "common", "parity")], F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    other = placed.select("bucket", *partner("b"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    fits = ((F.col("i") < F.col("j")) | (F.col("rep") < F.col("rep_b"))) & (F.col("component") != F.col("component_b")) & can_link("b")
+    ends = [F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")]
+    across = one.join(other, ["bucket", "i", "j"]).filter(fits).select(*ends).distinct()
     links = stage(links.unionByName(confirmed(agreeing(across).select("a", "b"))), "links")
-    drop_staged(members)
-    drop_staged(texts)
+    for used in (placed, left, texts):
+        drop_staged(used)
     final = components(links)
-
-    ranked = sketched.join(reps, same, "left").join(final, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return ranked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    drop_staged(links)
+
+    # a component's smallest class has its smallest doc_id
+    labelled = chosen.join(final, F.col("rep") == F.col("node"), "left").select(*same, "rows", F.coalesce("component", "rep").alias("component"))
+    ids = chosen.select(F.col("rep").alias("component"), F.col("doc_id").alias("component_id"))
+    labelled = stage(labelled.join(ids, "component").select(*same, "rows", "component_id"), "components")
+    columns = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")]
+    narrow = sketched.select("doc_id", *same)
+    # classes of one row in SHARE or more, of which there are at most SHARE, are settled where rows are read
+    heavy = F.broadcast(labelled.filter(F.col("rows") >= max(2, docs.count() // SHARE)).select(*same, "component_id"))
+    hot = narrow.filter(linkable).join(heavy, same).select(*columns)
+    cold = narrow.filter(linkable).join(heavy, same, "left_anti").join(labelled.select(*same, "component_id"), same).select(*columns)
+    alone = narrow.filter(~linkable).withColumn("component_id", F.col("doc_id")).select(*columns)
+    return hot.unionByName(cold).unionByName(alone)
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,20 @@ def test_parity_bitmaps_differ_by_no_more_bits_than_sets_by_elements():
         bits = sum(int(v).bit_count() for v in x ^ y)
         assert bits <= gone + gone // 2 and (bits > 0) == (gone > 0)
     assert not parities(base[:0], np.zeros(0, np.int64), 2).any()
+
+
+def test_texts_that_share_a_doc_id_keep_their_links(spark):
+    r = random.Random(8)
+    a, b = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a + " zz"), (3, b + " zz"), (3, "other words that stand alone here"), (4, a)]
+    got = near_duplicates(spark.createDataFrame([(*x, None, None) for x in rows], SCHEMA)).collect()
+    assert sorted((x.doc_id, x.component_id, x.kept) for x in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True), (4, 1, False)]
+
+
+def test_buckets_meet_by_blocks(spark, monkeypatch):
+    import kinspan.llm.minhash_dedup as m
+
+    monkeypatch.setattr(m, "BLOCK", 3)
+    monkeypatch.setattr(m, "TURNS", 0)
+    rows = corpus(21)
+    assert result(near_duplicates(spark.createDataFrame([(*x, None, None) for x in rows], SCHEMA), 4)) == brute(rows, 4)
