@@ -22,6 +22,13 @@ SHARE_OF_TOKENS, EPOCHS, SEED = 0.6, 2, 17
 DIGITS, LEAF = 2, 1 << 20
 LEVELS = ("domain", "lang", "source")
 MISSING = "(none)"
+#: Target weights of the registered query and the pipeline: of a node against its siblings, by level (1 domain, 2 language,
+#: 3 source) and name; 1 where they are silent.
+WEIGHTS = [(1, "domain0", 3.0), (1, "domain1", 2.0), (1, "domain3", 0.5), (2, "en", 4.0), (2, "de", 2.0), (2, "fr", 1.5), (3, "src0", 0.25), (3, "src5", 2.0), (3, "src10", 3.0)]
+
+
+def target_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(WEIGHTS, "depth int, name string, weight double")
 
 
 def default_domain(source: Column) -> Column:
@@ -54,7 +61,7 @@ def budgets(leaves: DataFrame, share: float, epochs: int, weights: DataFrame | N
         if weights is None:
             nodes = nodes.withColumn("weight", F.lit(1.0))
         else:
-            mine = weights.filter(F.col("depth") == depth).groupBy(F.col("name").alias(names[-1])).agg(F.max("weight").cast("double").alias("weight"))
+            mine = weights.filter((F.col("depth") == depth) & (F.col("weight") > 0)).groupBy(F.col("name").alias(names[-1])).agg(F.max("weight").cast("double").alias("weight"))
             nodes = nodes.join(mine, names[-1], "left").fillna({"weight": 1.0})
         nodes = nodes.withColumn("budget", F.lit(float(total) * share)) if given is None else nodes.join(given.select(*parent, F.col("given").alias("budget")), parent)
         given = stage(share_out(nodes, parent), "budgets")
@@ -65,7 +72,7 @@ def mix(docs: DataFrame, share: float = SHARE_OF_TOKENS, epochs: int = EPOCHS, s
     """Choose documents so that tokens follow the tree's weights; `share` of all tokens (white-space words) is wanted.
 
     Takes doc_id, text, lang, source; other columns are ignored. `weights` (depth 1 to 3, name, weight) weighs nodes
-    against their siblings, 1 where it is silent. Returns doc_id, domain, lang, source, n_tokens and copies (whole
+    against their siblings, 1 where it is silent, null or not above 0; the largest counts if it has several. Returns doc_id, domain, lang, source, n_tokens and copies (whole
     epochs and, if the prefix reaches it, one more), a row for each document with copies > 0. A null lang or source is
     the child "(none)". Documents without words supply nothing and are not chosen. A leaf's prefix ends with the
     document that reaches its budget; equal order values go by doc_id, so repeated rows count and are chosen together
@@ -105,4 +112,39 @@ def mix(docs: DataFrame, share: float = SHARE_OF_TOKENS, epochs: int = EPOCHS, s
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents"))
+    return mix(read(spark, sf_dir, "documents"), weights=target_weights(spark))
+
+
+def _level_sql(depth: int) -> str:
+    """The common table expressions that share out one level: nodes, then `given`."""
+    names, parent = list(LEVELS[:depth]), list(LEVELS[: depth - 1])
+    keys, by = ", ".join(names), f"partition by {', '.join(parent)}" if parent else ""
+    order = f"{by} order by capacity / weight, {keys}"
+    budget = f"(select sum(tokens) from leaves)::double * {SHARE_OF_TOKENS}" if not parent else f"(select g.given from given{depth - 1} g where {' and '.join(f'g.{x} = n.{x}' for x in parent)})"
+    return f"""
+node{depth} as (select {keys}, sum(tokens)::double * {EPOCHS} capacity, sum(tokens) tokens from leaves group by {keys}),
+want{depth} as (select n.*, coalesce(w.weight, 1.0) weight, {budget} budget from node{depth} n left join weights w on w.depth = {depth} and w.name = n.{names[-1]}),
+level{depth} as (select *, (budget - coalesce(sum(capacity) over (PREV rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (PREV rows between current row and unbounded following) as lev from want{depth}),
+final{depth} as (select *, capacity <= weight * lev as fits, max(case when not capacity <= weight * lev then lev end) over ({by}) as final from level{depth}),
+given{depth} as (select {keys}, tokens, case when fits then capacity else weight * final end given from final{depth})""".replace("PREV", order)
+
+
+OP6_SQL = rf"""
+with weights as (select * from (values {", ".join(f"({d}, '{n}', {w}::double)" for d, n, w in WEIGHTS)}) v(depth, name, weight)),
+docs as (
+  select doc_id, coalesce(lang, '{MISSING}') lang, coalesce(source, '{MISSING}') source,
+    case when regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' then 'other'
+         else 'domain' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::int % 4) end as domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) n_tokens
+  from documents
+), words as (select * from docs where n_tokens > 0),
+leaves as (select domain, lang, source, sum(n_tokens) tokens from words group by all),
+{",".join(_level_sql(d) for d in (1, 2, 3))},
+plan as (select domain, lang, source, tokens, given, floor(least(given, tokens * {EPOCHS}::double) / tokens + 1e-9)::int whole from given3),
+wanted as (select *, case when greatest(0, given - whole * tokens) < 1e-6 * tokens then 0 else greatest(0, given - whole * tokens) end rest from plan),
+run as (
+  select w.*, p.whole, p.rest, coalesce(sum(n_tokens) over (partition by domain, lang, source order by md5('{SEED}:' || p.whole || ':' || coalesce(doc_id::varchar, '')), doc_id rows between unbounded preceding and 1 preceding), 0) as start
+  from words w join wanted p using (domain, lang, source)
+)
+select doc_id, domain, lang, source, n_tokens, whole + (start < rest)::int as copies from run where whole + (start < rest)::int > 0
+"""

@@ -10,7 +10,7 @@ from kinspan.llm.decontamination import op4_decontamination
 from kinspan.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from kinspan.llm.language_id import op2_language_id
 from kinspan.llm.minhash_dedup import op5_minhash_dedup
-from kinspan.llm.mixing import op6_mixing
+from kinspan.llm.mixing import OP6_SQL, op6_mixing
 from kinspan.llm.quality import op8_quality
 from kinspan.llm.secret_scan import op10_secret_scan
 from kinspan.llm.suffix_dedup import op7_suffix_dedup
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_mixing": OP6_SQL}
