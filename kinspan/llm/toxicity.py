@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 
 from kinspan.llm.common import fold_is, read, stage
 
-#: The labelled rows that are learned from: at most so many of each class, by hash of doc_id.
-TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
-#: At most so many terms and known neighbours of terms are held in the model.
-TERMS, NEIGHBOURS = 5000, 50_000
+#: The labelled rows that are learned from: at most so many of each class, by hash of doc_id, of texts of at most LONGEST
+#: characters. This bounds the lexicon and the neighbours that the model holds.
+TOXIC_ROWS, CLEAN_ROWS, LONGEST = 4000, 8000, 100_000
 LEAST_CONTEXTS, CHANCE = 4, 0.01
 #: Most weight of a misspelling that no training row holds; two of them pass the threshold, one doesn't.
 UNSEEN = 0.25
@@ -188,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], dict[str,
         part = labels.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = F.broadcast(stage(chosen.select(F.col("doc_id").alias("of"), "toxic"), "labels"))
-    rows = docs.join(chosen, F.col("doc_id") == F.col("of")).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(chosen, F.col("doc_id") == F.col("of")).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
     pairs = rows.mapInArrow(_contexts, "word string, context long, toxic int")
     one = pairs.groupBy("word", "context").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
     counts = stage(one.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "words")
@@ -204,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], dict[str,
     t, c = F.col("t"), F.col("c")
     gain = t * F.log(t / (t + c) / F.lit(prior)) + F.when(c > 0, c * F.log(c / (t + c) / F.lit(1 - prior))).otherwise(0.0)
     good = (t >= LEAST_CONTEXTS) & (gain >= math.log(max(vocabulary, 1) / CHANCE)) & (t * total_c > 20 * c * total_t)
-    terms = {r.word: precision(r.t, r.c) for r in counts.filter(good).orderBy(F.desc(gain), "word").limit(TERMS).collect()}
+    terms = {r.word: precision(r.t, r.c) for r in counts.filter(good).collect()}
     lexicon = sorted(terms)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], dict[str,
         for batch in batches:
             yield batch.filter(pa.array([w not in exact and matcher.find(w) is not None for w in batch.column(0).to_pylist()], pa.bool_()))
 
-    near = counts.mapInArrow(neighbours, counts.schema).orderBy(F.desc("c"), F.desc("t"), "word").limit(NEIGHBOURS).collect()
+    near = counts.mapInArrow(neighbours, counts.schema).collect()
 
     # an unseen misspelling counts as far as its term's known neighbours were in toxic rows rather than in clean ones
     matcher = Matcher(lexicon)
