@@ -51,7 +51,7 @@ NUMBER, NAME, UNIT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("<number>",
 _STEP, _EXACT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 WINDOW_SCHEMA = "id long, row long, place int, width int, hash long, exact boolean, slots array<string>"
-RESULT_SCHEMA = "doc_id long, item_id long, n_windows int, n_matched int, coverage double, reparameterised boolean"
+RESULT_SCHEMA = "doc_id long, item_id long, n_windows int, n_matched int, coverage double, reparameterised boolean, text_hash long"
 
 
 class Tokens(dict):
@@ -118,9 +118,9 @@ class Words:
 
 
 def _windows(widths: list[int], bitmap: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Windows of (id, text): of the given widths that the bitmap has, or, without one, of WINDOW words or of the whole text if it has fewer."""
+    """Windows of (id, row, text): of the given widths that the bitmap has, or, without one, of WINDOW words or of the whole text if it has fewer."""
 
-    def rows(ids: list, texts: list[str], tokens: Tokens) -> pa.RecordBatch | None:
+    def made(ids: list[tuple], texts: list[str], tokens: Tokens) -> pa.RecordBatch | None:
         words = Words(texts, tokens)
         size = np.diff(words.first)
         out: list[tuple] = []
@@ -133,7 +133,7 @@ def _windows(widths: list[int], bitmap: np.ndarray | None) -> Callable[[Iterator
                 good = (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
             for p, x, e in zip(place[good].tolist(), h[good].view(np.int64).tolist(), exact[good].tolist(), strict=True):
                 t = words.text[p]
-                out.append((ids[t], xxhash.xxh64_intdigest(texts[t]) - (1 << 63), p - int(words.first[t]), width, x, e, words.slots(p, width)))
+                out.append((*ids[t], p - int(words.first[t]), width, x, e, words.slots(p, width)))
         if not out:
             return None
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.string()))
@@ -143,18 +143,18 @@ def _windows(widths: list[int], bitmap: np.ndarray | None) -> Callable[[Iterator
         tokens = Tokens()
         for batch in batches:
             ids, texts, size = [], [], 0
-            for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, row, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not t:
                     continue
-                ids.append(i)
+                ids.append((i, row))
                 texts.append(t)
                 size += len(t)
                 if size >= 6 * AT_ONCE:
-                    if made := rows(ids, texts, tokens):
-                        yield made
+                    if found := made(ids, texts, tokens):
+                        yield found
                     ids, texts, size = [], [], 0
-            if texts and (made := rows(ids, texts, tokens)):
-                yield made
+            if texts and (found := made(ids, texts, tokens)):
+                yield found
 
     return run
 
@@ -206,29 +206,29 @@ def check_pair(size: int, whole: list[tuple[int, int, int, int, list, list]]) ->
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, item_id, n_windows, found): the pairs that are leaks."""
+    """Of (doc_id, row, item_id, n_windows, found): the pairs that are leaks."""
     for batch in batches:
         out = []
-        for doc, item, size, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, row, item, size, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             n, run, differs = check_pair(size, [(f["hash"], f["place"], f["q"], f["times"], f["slots"], f["its"]) for f in found])
             if run or n >= COVERAGE * size:
-                out.append((doc, item, size, n, n / size, differs))
+                out.append((doc, item, size, n, n / size, differs, row))
         if out:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "n_windows", "n_matched", "coverage", "reparameterised"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "n_windows", "n_matched", "coverage", "reparameterised", "text_hash"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs of a document and a benchmark item of which it holds COVERAGE of the windows, or RUN of them in a row.
 
     `docs` needs doc_id and text, `benchmark` item_id and text; other columns are ignored. Returns doc_id, item_id,
-    n_windows (distinct ones of the item), n_matched, coverage and reparameterised (a number, name or unit differs), a
-    row for each pair; clean documents have none. Null and empty texts on either side match nothing. An item of fewer
+    n_windows (distinct ones of the item), n_matched, coverage, reparameterised (a number, name or unit differs) and
+    text_hash (xxhash64 of the document's text), a row for each pair; clean documents have none. Null and empty texts on either side match nothing. An item of fewer
     than WINDOW words is one window; one whose windows hold placeholders only is found by its very words. Equal rows
     count once on either side; different texts with the same id are compared each by itself, and so may give several
     rows. A row without doc_id gives pairs with a null doc_id. Empty tables give no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_windows(list(range(1, WINDOW + 1)), None), WINDOW_SCHEMA).dropDuplicates(["id", "row", "place"])
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), "text").mapInArrow(_windows(list(range(1, WINDOW + 1)), None), WINDOW_SCHEMA).dropDuplicates(["id", "row", "place"])
     items = stage(items, "items")
     # an item without any template window is known by its exact ones
     has = items.groupBy(F.col("id").alias("of"), F.col("row").alias("of_row")).agg(F.bool_and("exact").alias("only_exact"))
@@ -239,7 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = F.col("item_id").eqNullSafe(F.col("of")) & (F.col("item_row") == F.col("of_row"))
     known = stage(by_hash.join(sizes, same).select("hash", "item_id", "item_row", "n_windows", F.col("w.place").alias("q"), F.col("w.width").alias("width"), "times", F.col("w.slots").alias("its")), "windows")
     widths = sorted(r[0] for r in known.select("width").distinct().collect())  # at most WINDOW values
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), "text")
     met = stage(texts.mapInArrow(_windows(widths, _bitmap(known)), WINDOW_SCHEMA), "met")
     drop_staged(items)
 
@@ -247,7 +247,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = met.select(F.col("id").alias("doc_id"), "row", "place", "hash", "slots").join(known, "hash")
     groups = found.groupBy("doc_id", "row", "item_id", "item_row", "n_windows").agg(F.collect_set(F.struct("hash", "place", "q", "times", "slots", "its")).alias("found"), F.count_distinct("hash").alias("n"))
     enough = F.least(F.col("n_windows") * COVERAGE, F.lit(float(RUN)))
-    return groups.filter(F.col("n") >= enough).select("doc_id", "item_id", "n_windows", "found").mapInArrow(_pairs, RESULT_SCHEMA)
+    return groups.filter(F.col("n") >= enough).select("doc_id", "row", "item_id", "n_windows", "found").mapInArrow(_pairs, RESULT_SCHEMA)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

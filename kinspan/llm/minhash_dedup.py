@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """Components of documents linked by 100 * intersection >= percent * union of their word shingles.
 
     Takes doc_id and text; other columns are ignored. Returns doc_id, n_shingles, component_id (the smallest doc_id
-    that links reach, its own included) and kept (doc_id = component_id), a row for each row. A null or blank text has
+    that links reach, its own included), kept (doc_id = component_id) and text_hash (xxhash64 of the text), a row for each row. A null or blank text has
     no shingles and is linked with nothing. A text of fewer than `width` words has one shingle. Equal sets are one
     class from the start. Different texts with the same doc_id are different documents, each with its own links. A row
     without doc_id is linked with nothing, has a null component and is kept. An empty table gives no rows.
@@ -328,8 +328,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labelled = chosen.join(final, F.col("rep") == F.col("node"), "left").select(*same, "rows", F.coalesce("component", "rep").alias("component"))
     ids = chosen.select(F.col("rep").alias("component"), F.col("doc_id").alias("component_id"))
     labelled = stage(labelled.join(ids, "component").select(*same, "rows", "component_id"), "components")
-    columns = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")]
-    narrow = sketched.select("doc_id", *same)
+    columns = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash"]
+    narrow = sketched.select("doc_id", "text_hash", *same)
     # classes of one row in SHARE or more, of which there are at most SHARE, are settled where rows are read
     heavy = F.broadcast(labelled.filter(F.col("rows") >= max(2, docs.count() // SHARE)).select(*same, "component_id"))
     hot = narrow.filter(linkable).join(heavy, same).select(*columns)

@@ -2,13 +2,16 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
-from kinspan.llm.decontamination import contaminated
+import duckdb
+import pytest
 from kinspan.llm.exact_dedup import exact_duplicates
-from kinspan.llm.mixing import budgets, mix
-from kinspan.llm.token_counts import Rollup
+from kinspan.llm import exact_dedup
+from kinspan.llm.mixing import WEIGHTS, budgets, mix, target_weights
+from kinspan.llm.queries import oracle_sql, queries
+from kinspan.llm.token_counts import PATTERN, VOCABULARY, Rollup, op9_token_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string"
 
@@ -29,17 +32,6 @@ def test_exact_duplicates(spark):
     assert exact_duplicates(frame(spark, rows[:0])).collect() == []
 
 
-def test_leaks_with_other_numbers_and_names(spark):
-    item = "A train leaves Boston at 9 with 120 riders and then 9 more riders join before it stops."
-    other = "We read this. A train leaves Denver at 7 with 480 riders and then 7 more riders join before it stops. It was long."
-    broken = "A train leaves Denver at 7 with 480 riders and then 8 more riders join before it stops."
-    rows = [(1, f"Intro words here. {item} Outro."), (2, other), (3, broken), (4, "nothing in common with it at all"), (5, None), (6, "")]
-    bench = spark.createDataFrame([(1, item), (2, None), (3, "9 8 7")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.reparameterised for r in contaminated(frame(spark, rows), bench).collect()}
-    assert got[1, 1] is False and got[2, 1] is True and set(got) == {(1, 1), (2, 1)}
-    assert contaminated(frame(spark, rows), bench.limit(0)).collect() == []
-
-
 def test_budgets_fill_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "en", "x", 100), ("a", "en", "y", 10), ("a", "de", "z", 5), ("b", "en", "w", 40)], "domain string, lang string, source string, tokens long")
     got = {r.source: round(r.given, 6) for r in budgets(leaves, 1.0, 1).collect()}
@@ -48,6 +40,13 @@ def test_budgets_fill_siblings_first(spark):
     assert got == {"x": 16.0, "y": 10.0, "z": 5.0, "w": 31.0}
 
 
+def test_budgets_follow_weights(spark):
+    leaves = spark.createDataFrame([("a", "en", "x", 100), ("a", "de", "y", 100), ("b", "en", "z", 100), ("b", "en", "w", 7)], "domain string, lang string, source string, tokens long")
+    weights = spark.createDataFrame([(1, "a", 3.0), (2, "de", 4.0), (2, "de", 2.0), (3, "w", 9.0), (2, "en", None), (1, "b", -1.0)], "depth int, name string, weight double")
+    got = {r.source: round(r.given, 6) for r in budgets(leaves, 120 / 307, 1, weights).collect()}
+    assert got == {"x": 18.0, "y": 72.0, "z": 23.0, "w": 7.0}  # 90 and 30; de has 4 of 5; w gives all of its 7
+
+
 def test_mix_takes_prefixes_of_seeded_epochs(spark):
     rows = [(i, "w " * (1 + i % 7), "en" if i % 3 else None, f"src{i % 2}", 0, None) for i in range(400)]
     got = mix(spark.createDataFrame(rows, DOCS), share=0.5, epochs=3).collect()
@@ -72,6 +71,64 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     assert after == {("s", "en"): (1, 1), ("s", None): (1, 0)}
 
 
+def test_mix_odd_rows(spark):
+    schema = f"{DOCS}, domain string, copies int, tokens long"
+    rows = [(1, "a b", None, None), (1, "a b", None, None), (None, "c d e", "en", "s1"), (2, None, "en", "s1"), (3, "", "en", "s1"), (4, "w " * 50_000, "de", "s2"), (5, "a", "de", "s99999999999")]
+    got = mix(spark.createDataFrame([(*r, 0, None, "clash", 9, 9) for r in rows], schema), share=1.0, epochs=1).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.copies) for r in got) == {(1, 2, 1): 2, (None, 3, 1): 1, (4, 50_000, 1): 1, (5, 1, 1): 1}
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_and_its_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    found = duck.execute(oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    df = queries()[name](spark, sf)
+    assert sorted(names) == sorted(df.columns)
+    assert Counter(tuple(r) for r in found.fetchall()) == Counter(tuple(r) for r in df.select(*names).collect())
+
+
+def test_exact_duplicates_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARE", 2)
+    schema = "doc_id long, text string, keep_id string, least int, n int, text_hash int"
+    rows = [(1, "long " * 100_000), (2, "long\n" * 100_000), (3, "x"), (3, "x"), (3, "y"), (None, "y"), (None, None), (None, "")]
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(spark.createDataFrame([(*x, "c", 1, 1, 1) for x in rows], schema)).collect())
+    assert got == {(1, 1, 2, True): 1, (2, 1, 2, False): 1, (3, 3, 2, True): 3, (None, 3, 2, False): 1, (None, None, 2, True): 2}
+
+
+def test_rollup_compacts_and_survives_a_cut_commit(spark, tmp_path):
+    rollup = Rollup(spark, str(tmp_path / "r"))
+    make = lambda rows: spark.createDataFrame([(*r, "clash") for r in rows], "sign int, source string, lang string, text string, n_tokens string")
+    (tmp_path / "r/_aside-cut").mkdir(parents=True)  # what a commit that was cut short leaves
+    assert rollup.totals().collect() == [] and rollup.committed() == []
+    rollup.commit("late", make([(-1, "s", "en", "a b"), (None, "s", "en", "x"), (0, "s", "en", "x")]))
+    rollup.commit("empty", make([]))
+    rollup.compact()
+    assert rollup.commit("load", make([(1, "s", "en", "a b"), (1, "s", "en", "word " * 30_000)]))
+    assert not rollup.commit("late", make([(-1, "s", "en", "a b")])) and rollup.committed() == ["empty", "late", "load"]
+    rollup.compact()
+    assert not rollup.commit("load", make([(1, "s", "en", "a")]))
+    rows = rollup.totals().collect()
+    assert [(r.source, r.n_docs) for r in rows] == [("s", 1)] and rows[0].n_tokens >= 30_000
+
+
+def test_token_counts_match_plain_python(spark):
+    import base64
+
+    import tiktoken
+
+    sf = "/root/testdata/sf0.001"
+    with open(VOCABULARY, "rb") as f:
+        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    want = defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        want[r.source, r.lang][0] += 1
+        want[r.source, r.lang][1] += len(encoding.encode_ordinary(r.text or ""))
+    assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in op9_token_counts(spark, sf).collect()} == dict(want)
+
+
 def test_pipeline_stages_take_effect(spark):
     sf = "/root/testdata/sf0.001"
     docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
@@ -84,3 +141,25 @@ def test_pipeline_stages_take_effect(spark):
     kept = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in docs.collect()]
     assert len(kept) == len(set(kept))
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
+PIPELINE_ODD = [(1, "same  text of five words"), (1, "same text of five words"), (1, "same text of five words"), (1, "another text that has the same number"), (2, "same text of five words"), (3, None), (4, ""), (None, "no number at all here"), (5, "word " * 40_000), (6, "one")]
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, text_hash string, score string"
+    odd = spark.createDataFrame([(i, t, None, "s", 1, "clash", "clash") for i, t in PIPELINE_ODD], schema)
+    for docs in (odd, odd.limit(0)):
+        for name, stage_function in corpus_pipeline.STAGES:
+            docs = stage_function(spark, docs, str(tmp_path))
+            if name == "exact_dedup":
+                kept = [(r.doc_id, " ".join((r.text or "").split())[:12]) for r in docs.collect()]
+                assert not kept or Counter(kept) == Counter([(1, "same text of"), (1, "another text"), (3, ""), (None, "no number at"), (5, "word word wo"), (6, "one")])
+        rows = docs.collect()
+        assert all(r.copies >= 1 for r in rows)
+
+
+def test_target_weights_are_unequal(spark):
+    assert len({w for _, _, w in WEIGHTS}) > 1 and target_weights(spark).count() == len(WEIGHTS)
