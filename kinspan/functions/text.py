@@ -29,6 +29,10 @@ def _composed() -> tuple[str, str]:
 COMPOSED, BASES = _composed()
 
 
+def ascii_only(c: Column) -> Column:
+    return ~c.rlike(r"[^\x00-\x7F]")
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space become one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
@@ -68,8 +72,10 @@ def script(c: Column) -> Column:
     """The only script of the letters and marks; Mixed if there are several, Unknown if none."""
     names = [*SCRIPTS, "Other"]
     text = F.coalesce(c, F.lit(""))
+    plain = F.when(text.rlike("[A-Za-z]"), F.lit("Latin")).otherwise(F.lit("Unknown"))
     found = F.filter(F.array(*[F.when(text.rlike(OTHER if n == "Other" else _script_class(n)), F.lit(n)) for n in names]), lambda x: x.isNotNull())
-    return F.when(F.size(found) == 0, F.lit("Unknown")).when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(F.lit("Mixed"))
+    several = F.when(F.size(found) == 0, F.lit("Unknown")).when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(F.lit("Mixed"))
+    return F.when(ascii_only(text), plain).otherwise(several)
 
 
 def script_details(c: Column) -> Column:
@@ -93,7 +99,7 @@ def language(text: Column, of_script: Column) -> Column:
 
 
 def strip_diacritics(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, COMPOSED, BASES), r"\p{Mn}", "")
+    return F.when(ascii_only(c), c).otherwise(F.regexp_replace(F.translate(c, COMPOSED, BASES), r"\p{Mn}", ""))
 
 
 def normalize_text(c: Column, strip_punctuation: bool = False, keep_safe: bool = True) -> Column:
@@ -109,14 +115,21 @@ def business_vocabulary(c: Column) -> Column:
     return F.array_join(F.transform(F.split(squeeze(c), " "), lambda t: F.coalesce(terms[t], t)), " ")
 
 
+#: All rules at once: where several match, an earlier rule's match is the longer one, so it is the leftmost.
+ANY_SUFFIX = r"(?i)\b(?:" + "|".join(pattern for pattern, _ in LEGAL_SUFFIXES) + r")\b\.?$"
+
+
 def legal_suffix_applied(c: Column) -> Column:
-    """The suffix at the name's end in canonical form; the first rule that matches is the only one."""
+    """The suffix at the name's end in canonical form; the first rule that matches is the only one.
+
+    One pattern finds the suffix; the rules then look at the suffix alone.
+    """
     name = F.trim(F.regexp_replace(c, r"[,.\s]+$", ""))
-    out = name
-    for pattern, canonical in reversed(LEGAL_SUFFIXES):
-        p = rf"(?i)\b(?:{pattern})\b\.?$"
-        out = F.when(name.rlike(p), squeeze(F.regexp_replace(name, p, canonical))).otherwise(out)
-    return F.when(c.isNotNull(), out)
+    found = F.regexp_extract(name, ANY_SUFFIX, 0)
+    canonical = F.lit("")
+    for pattern, form in reversed(LEGAL_SUFFIXES):
+        canonical = F.when(found.rlike(rf"(?i)^(?:{pattern})\.?$"), F.lit(form)).otherwise(canonical)
+    return F.when(found == "", name).otherwise(squeeze(F.concat(F.left(name, F.length(name) - F.length(found)), canonical)))
 
 
 def business_name(name: Column, transliterated: Column | None = None) -> Column:
@@ -242,7 +255,8 @@ def missing(c: Column) -> Column:
 
 
 def source_of_id(c: Column) -> Column:
-    return F.when(c.startswith("S2-"), "source2").when(c.startswith("S3-"), "source3").otherwise("unknown")
+    """The source of an id S2-... or S3-..., also written with an underscore; else unknown."""
+    return F.when(c.rlike("^S2[-_]"), "source2").when(c.rlike("^S3[-_]"), "source3").otherwise("unknown")
 
 
 def key_label(c: Column) -> Column:

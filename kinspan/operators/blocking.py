@@ -32,14 +32,30 @@ def oversized(sizes: DataFrame, cap: int) -> DataFrame:
     return sizes.filter(F.col("pairs") > cap)
 
 
-def candidate_pairs(keys: DataFrame, cap: int | None = None) -> DataFrame:
-    """Distinct pairs with the sorted labels that produced them; blocks of more than `cap` pairs are left out."""
-    sizes = block_sizes(keys)
-    good = (sizes if cap is None else sizes.filter(F.col("pairs") <= cap)).select("label", "key")
-    kept = keys.join(good, ["label", "key"], "left_semi")
-    one = kept.filter("source = 'source1'").select("label", "key", F.col("entity_id").alias(PAIR[0]))
-    two = kept.filter("source <> 'source1'").select("label", "key", F.col("entity_id").alias(PAIR[1]), F.col("source").alias(PAIR[2]))
-    return one.join(two, ["label", "key"]).groupBy(*PAIR).agg(F.sort_array(F.collect_set("label")).alias("labels"))
+def within_cap(keyed: DataFrame, cap: int, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """entity_id, source and key columns, null where a key's block has more than `cap` pairs."""
+    keys = long_keys(keyed, labels)
+    # only oversized blocks are looked up: there are at most all pairs / cap of them
+    kept = keys.join(oversized(block_sizes(keys), cap).select("label", "key"), ["label", "key"], "left_anti")
+    wide = kept.groupBy("entity_id").agg(*[F.max(F.when(F.col("label") == x, F.col("key"))).alias(f"key_{x}") for x in labels])
+    return keyed.select("entity_id", "source").join(wide, "entity_id")
+
+
+def candidate_pairs(keyed: DataFrame, cap: int | None = None, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """Distinct pairs with the sorted labels that produced them; blocks of more than `cap` pairs are left out.
+
+    Each side carries all its keys, so a pair is given by the first label that it shares, with all of them, and pairs are
+    never shuffled to be told apart.
+    """
+    names = [f"key_{x}" for x in labels]
+    wide = keyed if cap is None else within_cap(keyed, cap, labels)
+    long = wide.select("entity_id", "source", F.array(*names).alias("keys"), F.posexplode(F.array(*names)).alias("k", "key")).filter("key is not null")
+    one = long.filter("source = 'source1'").select("k", "key", F.col("entity_id").alias(PAIR[0]), F.col("keys").alias("keys_1"))
+    two = long.filter("source <> 'source1'").select("k", "key", F.col("entity_id").alias(PAIR[1]), F.col("source").alias(PAIR[2]), F.col("keys").alias("keys_2"))
+    equal = [F.coalesce(F.get("keys_1", F.lit(i)) == F.get("keys_2", F.lit(i)), F.lit(False)) for i in range(len(labels))]
+    first = F.coalesce(*[F.when(e, F.lit(i)) for i, e in enumerate(equal)])
+    found = F.filter(F.array(*[F.when(e, F.lit(x)) for x, e in zip(labels, equal, strict=True)]), lambda x: x.isNotNull())
+    return one.join(two, ["k", "key"]).filter(F.col("k") == first).select(*PAIR, F.sort_array(found).alias("labels"))
 
 
 def index_stats(keys: DataFrame, cap: int) -> DataFrame:
@@ -63,16 +79,40 @@ def truth_matches(keyed: DataFrame, truth: DataFrame, labels: tuple[str, ...] =
     """Ground-truth pairs with a boolean m_<label> for each key, true if both sides have that key (in a block within cap)."""
     columns = [F.col(f"key_{x}") for x in labels]
     if cap is not None:
-        sizes = block_sizes(long_keys(keyed, labels)).filter(F.col("pairs") <= cap).select("label", "key")
-        keys = long_keys(keyed, labels).join(sizes, ["label", "key"], "left_semi")
-        wide = keys.groupBy("entity_id").agg(*[F.max(F.when(F.col("label") == x, F.col("key"))).alias(f"key_{x}") for x in labels])
-        keyed = keyed.select("entity_id", "country_normalized", "has_addr_num").join(wide, "entity_id", "left")
+        keyed = keyed.select("entity_id", "country_normalized", "has_addr_num").join(within_cap(keyed, cap, labels).drop("source"), "entity_id", "left")
     one = keyed.select(F.col("entity_id").alias(PAIR[0]), F.col("country_normalized").alias("country"), F.col("has_addr_num").alias("num1"), *[c.alias(f"{x}1") for x, c in zip(labels, columns, strict=True)])
     two = keyed.select(F.col("entity_id").alias(PAIR[1]), F.col("has_addr_num").alias("num2"), *[c.alias(f"{x}2") for x, c in zip(labels, columns, strict=True)])
     matched = {f"m_{x}": F.coalesce(F.col(f"{x}1") == F.col(f"{x}2"), F.lit(False)) for x in labels}
     return truth.select(*PAIR).join(one, PAIR[0], "left").join(two, PAIR[1], "left").withColumns(matched).select(*PAIR, "country", "num1", "num2", *matched)
 
 
+def cap_recall(keyed: DataFrame, truth: DataFrame, caps: list[int], labels: tuple[str, ...] = LABELS, by: tuple[str, ...] = ()) -> DataFrame:
+    """By cap and the columns `by` (candidate_source, country): true pairs, those that a block within the cap recovers, and recall.
+
+    A key's block size goes with the key, so one pass over the true pairs serves all caps: the smallest block that holds
+    both sides decides from which cap on the pair is recovered.
+    """
+    keys = long_keys(keyed, labels)
+    sized = keys.join(block_sizes(keys).select("label", "key", "pairs"), ["label", "key"])
+    one = sized.filter("source = 'source1'").select(F.col("entity_id").alias(PAIR[0]), "label", "key", "pairs")
+    two = sized.filter("source <> 'source1'").select(F.col("entity_id").alias(PAIR[1]), "label", "key")
+    least = truth.select(*PAIR[:2]).join(one, PAIR[0]).join(two, [PAIR[1], "label", "key"]).groupBy(*PAIR[:2]).agg(F.min("pairs").alias("least"))
+    country = keyed.filter("source = 'source1'").select(F.col("entity_id").alias(PAIR[0]), F.col("country_normalized").alias("country"))
+    all_ = truth.select(*PAIR).join(country, PAIR[0], "left").join(least, PAIR[:2], "left").withColumn("cap", F.explode(F.array(*[F.lit(c) for c in caps])))
+    hit = F.coalesce(F.col("least") <= F.col("cap"), F.lit(False))
+    return all_.groupBy("cap", *by).agg(F.count(F.lit(1)).alias("truth"), F.count_if(hit).alias("recovered"), recall(hit).alias("recall"))
+
+
+def cap_volume(keyed: DataFrame, caps: list[int], labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """By cap: pairs (summed over keys) of blocks within it, oversized blocks, their share, and pairs for each source1 entity."""
+    sizes = block_sizes(long_keys(keyed, labels)).withColumn("cap", F.explode(F.array(*[F.lit(c) for c in caps])))
+    within = F.col("pairs") <= F.col("cap")
+    entities = keyed.agg(F.count_if(F.col("source") == "source1").alias("s1"))
+    out = sizes.groupBy("cap").agg(F.coalesce(F.sum(F.when(within, F.col("pairs"))), F.lit(0)).alias("pairs_sum"), F.count_if(~within).alias("oversized"), F.count(F.lit(1)).alias("blocks"))
+    # one row of entities
+    return out.join(F.broadcast(entities)).select("cap", "pairs_sum", "oversized", "blocks", F.round(F.col("pairs_sum") / F.greatest("s1", F.lit(1)).cast("double"), 6).alias("pairs_per_s1"))
+
+
 def any_of(labels: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(f"m_{x}") for x in labels])
 

@@ -19,39 +19,35 @@ PROCESSED_SCHEMA = (
 PROCESSED = [f.strip().split(" ")[0] for f in PROCESSED_SCHEMA.split(", ")]
 
 
-def process(raw: DataFrame, indic: bool = True) -> DataFrame:
+def process(raw: DataFrame, indic: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """source + RAW columns to PROCESSED. A blank name, address or country nulls its whole group of columns.
 
-    With indic=False texts are taken to hold no Indic characters and no Python runs at all.
+    With indic=False texts are taken to hold no Indic characters and no Python runs at all. Other columns go, but those
+    named in `carry`.
     """
 
-    def group(name: str, normal, tokens) -> dict[str, Column]:
-        has = ~T.blank(F.col(name))
-        script = T.script(F.col(name))
-        latin = transliterate(F.col(name)) if indic else F.col(name)
-        norm = normal(F.col(name), latin)
-        return {
-            f"{name}_script": F.when(has, script),
-            f"{name}_language": F.when(has, T.language(F.col(name), script)),
-            f"{name}_transliterated": F.when(has, latin),
-            f"{name}_normalized": F.when(has, norm),
-            f"{name}_tokens": F.when(has, tokens(norm)),
-            name: F.when(has, F.col(name)),
-        }
-
-    out = raw.withColumns(group("business_name", T.business_name, T.name_tokens))
-    out = out.withColumns(group("business_address", T.address, T.address_tokens))
-    has = ~T.blank(F.col("country"))
-    out = out.withColumns({"country_normalized": F.when(has, T.country(F.col("country"))), "country": F.when(has, F.col("country"))})
-    return out.select(*PROCESSED)
+    # one projection a step: what a later step uses twice is an attribute there and not computed again
+    names = ("business_name", "business_address")
+    normal = {"business_name": T.business_name, "business_address": T.address}
+    tokens = {"business_name": T.name_tokens, "business_address": T.address_tokens}
+    out = raw.withColumns({n: F.when(~T.blank(F.col(n)), F.col(n)) for n in (*names, "country")})
+    out = out.withColumns({f"{n}_script": F.when(F.col(n).isNotNull(), T.script(F.col(n))) for n in names} | {f"{n}_transliterated": transliterate(F.col(n)) if indic else F.col(n) for n in names})
+    out = out.withColumns(
+        {f"{n}_language": T.language(F.col(n), F.col(f"{n}_script")) for n in names}
+        | {f"{n}_normalized": F.when(F.col(n).isNotNull(), normal[n](F.col(n), F.col(f"{n}_transliterated"))) for n in names}
+        | {"country_normalized": F.when(F.col("country").isNotNull(), T.country(F.col("country")))}
+    )
+    out = out.withColumns({f"{n}_tokens": F.when(F.col(n).isNotNull(), tokens[n](F.col(f"{n}_normalized"))) for n in names})
+    return out.select(*PROCESSED, *[c for c in carry if c in raw.columns])
 
 
 def blocking_keys(processed: DataFrame) -> DataFrame:
     """Adds key_A to key_F (label||country||payload, null without country or payload), has_addr and has_addr_num."""
     country = F.col("country_normalized")
     present = ~T.blank(country)
-    tokens = T.meaningful_tokens(F.col("business_name_normalized"))
-    number = T.address_number(F.col("business_address_normalized"))
+    # a step of their own, for several keys use them
+    processed = processed.withColumns({"_meaningful": T.meaningful_tokens(F.col("business_name_normalized")), "_number": T.address_number(F.col("business_address_normalized"))})
+    tokens, number = F.col("_meaningful"), F.col("_number")
     first, second = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
 
     def key(label: str, *payload: Column) -> Column:
@@ -71,7 +67,7 @@ def blocking_keys(processed: DataFrame) -> DataFrame:
             "has_addr": ~T.blank(F.col("business_address_normalized")),
             "has_addr_num": number.isNotNull(),
         }
-    )
+    ).drop("_meaningful", "_number")
 
 
 def representations(processed: DataFrame) -> DataFrame:
@@ -84,29 +80,38 @@ def representations(processed: DataFrame) -> DataFrame:
     def clean(tokens: Column, text: Column) -> Column:
         return F.filter(F.coalesce(tokens, F.split(T.squeeze(text), " ")), lambda t: ~T.missing(t))
 
-    name = F.when(~T.missing(F.col("business_name_normalized")), T.squeeze(F.col("business_name_normalized"))).otherwise("")
-    names = clean(F.col("business_name_tokens"), name)
-    addr = F.when(~T.missing(F.col("business_address_normalized")), T.squeeze(F.col("business_address_normalized"))).otherwise("")
-    addrs = F.when(addr == "", F.array().cast("array<string>")).otherwise(clean(F.col("business_address_tokens"), addr))
-    return processed.withColumns(
-        {
-            "n_text": name,
-            "n_translit": F.when(~T.missing(F.col("business_name_transliterated")), F.lower(F.trim("business_name_transliterated"))),
-            "n_set": F.array_distinct(names),
-            "n_count": F.size(names),
-            "n_grams": T.ngrams(name),
-            "n_first": F.when(name != "", F.get(F.split(name, " "), F.lit(0))),
-            "n_acronym": T.acronym(names),
-            "n_suffix": T.legal_suffix(name),
-            "a_text": addr,
-            "a_set": F.array_distinct(addrs),
-            "a_grams": T.ngrams(addr),
-            "a_numbers": T.numeric_tokens(addr),
-            "a_number": T.address_number(addr),
-            "a_postal": T.postal_code(addr, F.coalesce("country_normalized", F.lit(""))),
-            "a_missing": addr == "",
-            "c_text": F.when(~T.missing(F.col("country_normalized")), F.lower(F.trim("country_normalized"))),
-        }
+    text = {
+        "n_text": F.when(~T.missing(F.col("business_name_normalized")), T.squeeze(F.col("business_name_normalized"))).otherwise(""),
+        "a_text": F.when(~T.missing(F.col("business_address_normalized")), T.squeeze(F.col("business_address_normalized"))).otherwise(""),
+    }
+    name, addr = F.col("n_text"), F.col("a_text")
+    tokens = {
+        "_names": clean(F.col("business_name_tokens"), name),
+        "_addrs": F.when(addr == "", F.array().cast("array<string>")).otherwise(clean(F.col("business_address_tokens"), addr)),
+    }
+    names = F.col("_names")
+    return (
+        processed.withColumns(text)
+        .withColumns(tokens)
+        .withColumns(
+            {
+                "n_translit": F.when(~T.missing(F.col("business_name_transliterated")), F.lower(F.trim("business_name_transliterated"))),
+                "n_set": F.array_distinct(names),
+                "n_count": F.size(names),
+                "n_grams": T.ngrams(name),
+                "n_first": F.when(name != "", F.get(F.split(name, " "), F.lit(0))),
+                "n_acronym": T.acronym(names),
+                "n_suffix": T.legal_suffix(name),
+                "a_set": F.array_distinct("_addrs"),
+                "a_grams": T.ngrams(addr),
+                "a_numbers": T.numeric_tokens(addr),
+                "a_number": T.address_number(addr),
+                "a_postal": T.postal_code(addr, F.coalesce("country_normalized", F.lit(""))),
+                "a_missing": addr == "",
+                "c_text": F.when(~T.missing(F.col("country_normalized")), F.lower(F.trim("country_normalized"))),
+            }
+        )
+        .drop("_names", "_addrs")
     )
 
 

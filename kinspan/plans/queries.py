@@ -14,7 +14,7 @@ from kinspan.operators import features as X
 from kinspan.operators import metrics, postprocess, profile, supervised, validate
 from kinspan.operators.records import process
 from kinspan.plans import oracle as O
-from kinspan.plans.views import er_part, keyed, processed, represented, truth_pairs
+from kinspan.plans.views import er_part, keyed, prepared, processed, represented, truth_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,7 +56,7 @@ def keys(spark: SparkSession, sf: str, labels: tuple[str, ...] = B.LABELS) -> Da
 
 def candidates(spark: SparkSession, sf: str, cap: int | None = None) -> DataFrame:
     """All pairs of all blocks; a cap is given only where the query is about the cap."""
-    return B.candidate_pairs(keys(spark, sf), cap)
+    return B.candidate_pairs(keyed(spark, sf), cap)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +68,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
-    return er_part(spark, sf).filter("source = 'source1'").select(F.col("entity_id").alias(PAIR[0]))
+    return prepared(spark, sf).filter("source = 'source1'").select(F.col("entity_id").alias(PAIR[0]))
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,11 +242,12 @@ select truth, recovered, pairs, round(recovered::double / truth, 6) recall, roun
 @query("q_blocking_recall", O.sql(RECALL_SQL, "truth", "cand", "er"))
 def blocking_recall(spark, sf):
     pairs, truth = candidates(spark, sf), truth_pairs(spark, sf)
-    one = truth.agg(F.count(F.lit(1)).alias("truth"))
-    two = truth.join(pairs, PAIR[:2], "left_semi").agg(F.count(F.lit(1)).alias("recovered"))
-    three = pairs.agg(F.count(F.lit(1)).alias("pairs"))
-    four = er_part(spark, sf).agg(F.count_if(F.col("source") == "source1").alias("a"), F.count_if(F.col("source") != "source1").alias("b"))
-    row = one.join(F.broadcast(two)).join(F.broadcast(three)).join(F.broadcast(four))  # one row each
+    # true pairs are rows of the truth or of the pairs: one pass over the pairs counts both
+    found = pairs.select(*PAIR[:2]).join(truth.select(*PAIR[:2], F.lit(1).alias("true")), PAIR[:2], "left")
+    one = found.agg(F.count(F.lit(1)).alias("pairs"), F.count("true").alias("recovered"))
+    two = truth.agg(F.count(F.lit(1)).alias("truth"))
+    three = prepared(spark, sf).agg(F.count_if(F.col("source") == "source1").alias("a"), F.count_if(F.col("source") != "source1").alias("b"))
+    row = one.join(F.broadcast(two)).join(F.broadcast(three))  # one row each
     return row.select("truth", "recovered", "pairs", r6(F.col("recovered") / F.col("truth").cast("double")).alias("recall"), r6(1 - F.col("pairs") / (F.col("a") * F.col("b")).cast("double")).alias("reduction"))
 
 

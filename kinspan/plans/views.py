@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinspan.operators.records import blocking_keys, process, representations
+from kinspan.operators.features import REPRESENTATION
+from kinspan.operators.records import PROCESSED, blocking_keys, process, representations
+from kinspan.sources.staging import staged
+
+#: Columns that true pairs agree in, and those that blocking adds.
+TWIN = ("p_name", "p_brand", "p_type")
+KEYED = [*[f"key_{x}" for x in "ABCDEF"], "has_addr", "has_addr_num"]
 
 PART_VIEW = """
 with b as (select *, cast(substr(p_brand, 7) as int) bn, p_partkey % 3 + 1 k from {part})
@@ -32,22 +38,29 @@ def er_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PART_VIEW.format(part=f"parquet.`{sf_dir}/part.parquet`"))
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity with its processed columns, blocking keys and comparison columns, written once for a state of the part table.
+
+    All queries over entities and pairs read the columns they need of this; the part table is read to prepare it.
+    It holds no Indic text, so no Python runs.
+    """
+    return staged(spark, "entities", f"{sf_dir}/part.parquet", lambda: representations(blocking_keys(process(er_part(spark, sf_dir), indic=False, carry=TWIN))))
+
+
 def truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    er = er_part(spark, sf_dir)
-    twin = ["p_name", "p_brand", "p_type"]
-    one = er.filter("source = 'source1'").selectExpr("entity_id source1_entity_id", *twin)
-    two = er.filter("source <> 'source1'").selectExpr("entity_id candidate_entity_id", "source candidate_source", *twin)
-    return one.join(two, twin).drop(*twin)
+    er = prepared(spark, sf_dir)
+    one = er.filter("source = 'source1'").selectExpr("entity_id source1_entity_id", *TWIN)
+    two = er.filter("source <> 'source1'").selectExpr("entity_id candidate_entity_id", "source candidate_source", *TWIN)
+    return one.join(two, list(TWIN)).drop(*TWIN)
 
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 16 columns; the part table holds no Indic text, so no Python runs."""
-    return process(er_part(spark, sf_dir), indic=False)
+    return prepared(spark, sf_dir).select(*PROCESSED)
 
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking_keys(processed(spark, sf_dir))
+    return prepared(spark, sf_dir).select(*PROCESSED, *KEYED)
 
 
 def represented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return representations(processed(spark, sf_dir))
+    return prepared(spark, sf_dir).select(*PROCESSED, *REPRESENTATION)
