@@ -83,9 +83,9 @@ def script_details(c: Column) -> Column:
     counts, text = script_counts(c), F.coalesce(c, F.lit(""))
     total = F.aggregate(F.map_values(counts), F.lit(0), lambda a, x: a + x)
     cases = [*[(n, _script_class(n)) for n in SCRIPTS], ("Other", OTHER)]
-    first = F.coalesce(*[F.lit(None).cast("int")], F.lit(0))
-    order = F.array_sort(F.array(*[F.struct((-F.coalesce(F.get(F.map_values(F.map_filter(counts, lambda k, _, n=n: k == n)), F.lit(0)), F.lit(0))).alias("n"), F.when(text.rlike(p), F.length(F.regexp_extract(text, rf"(?s)^(.*?){p}", 1))).otherwise(F.lit(2**30)).alias("at"), F.lit(n).alias("name")) for n, p in cases]))
-    dominant = F.when(total == 0, F.lit("Unknown")).otherwise(F.get(order, first)["name"])
+    met = [F.when(text.rlike(p), F.length(F.regexp_extract(text, rf"(?s)^(.*?){p}", 1))).otherwise(F.lit(2**30)) for _, p in cases]
+    order = F.array_sort(F.array(*[F.struct((-F.coalesce(F.try_element_at(counts, F.lit(n)), F.lit(0))).alias("n"), at.alias("at"), F.lit(n).alias("name")) for (n, _), at in zip(cases, met, strict=True)]))
+    dominant = F.when(total == 0, F.lit("Unknown")).otherwise(F.get(order, F.lit(0))["name"])
     shares = F.transform_values(counts, lambda _, v: F.bround(v.cast("double") / total, 4))
     return F.struct(script(c).alias("script"), dominant.alias("dominant"), counts.alias("counts"), shares.alias("shares"), total.alias("total"), (F.size(counts) > 1).alias("is_mixed"))
 

@@ -113,6 +113,32 @@ def cap_volume(keyed: DataFrame, caps: list[int], labels: tuple[str, ...] = LABE
     return out.join(F.broadcast(entities)).select("cap", "pairs_sum", "oversized", "blocks", F.round(F.col("pairs_sum") / F.greatest("s1", F.lit(1)).cast("double"), 6).alias("pairs_per_s1"))
 
 
+def single_keys(keyed: DataFrame, truth: DataFrame, cap: int, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """By label as the only key: pairs of blocks within the cap, oversized blocks, pairs without a cap, true pairs recovered and recall."""
+    keys = long_keys(keyed, labels)
+    sizes = block_sizes(keys)
+    within = F.col("pairs") <= cap
+    volume = sizes.groupBy("label").agg(F.coalesce(F.sum(F.when(within, F.col("pairs"))), F.lit(0)).alias("pairs_capped"), F.count_if(~within).alias("oversized"), F.sum("pairs").alias("pairs_all"))
+    good = keys.join(sizes.filter(within).select("label", "key"), ["label", "key"])
+    one = good.filter("source = 'source1'").select(F.col("entity_id").alias(PAIR[0]), "label", "key")
+    two = good.filter("source <> 'source1'").select(F.col("entity_id").alias(PAIR[1]), "label", "key")
+    hits = truth.select(*PAIR[:2]).join(one, PAIR[0]).join(two, [PAIR[1], "label", "key"]).groupBy("label").agg(F.count(F.lit(1)).alias("recovered"))
+    total = truth.agg(F.count(F.lit(1)).alias("truth"))
+    # a row for each label by one row
+    out = volume.join(hits, "label", "left").join(F.broadcast(total)).withColumn("recovered", F.coalesce("recovered", F.lit(0)))
+    return out.select("label", "pairs_capped", "oversized", "pairs_all", "recovered", F.round(F.col("recovered") / F.greatest("truth", F.lit(1)).cast("double"), 6).alias("recall"))
+
+
+def s1_coverage(keyed: DataFrame, truth: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """One row of source1 entities: all, with a key, with a candidate in some block, with a true pair in some block."""
+    keys = long_keys(keyed, labels)
+    shared = keys.join(block_sizes(keys).select("label", "key"), ["label", "key"], "left_semi").filter("source = 'source1'").select("entity_id").distinct()
+    hit = truth_matches(keyed, truth, labels).filter(any_of(labels)).select(F.col(PAIR[0]).alias("entity_id")).distinct()
+    has_key = reduce(lambda a, b: a | b, [F.col(f"key_{x}").isNotNull() for x in labels])
+    all_ = keyed.filter("source = 'source1'").select("entity_id", has_key.alias("k")).join(shared.withColumn("c", F.lit(True)), "entity_id", "left").join(hit.withColumn("m", F.lit(True)), "entity_id", "left")
+    return all_.agg(F.count(F.lit(1)).alias("entities"), F.count_if("k").alias("with_key"), F.count_if("c").alias("with_candidate"), F.count_if("m").alias("with_true_pair"))
+
+
 def any_of(labels: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(f"m_{x}") for x in labels])
 

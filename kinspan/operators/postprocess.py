@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from kinspan.operators.blocking import PAIR
 
 
-def filter_pairs(scored: DataFrame, threshold: float, margin: float | None = None, top_k: int | None = None) -> DataFrame:
-    """Threshold, then margin against the entity's best of all sources, then the best top_k of each source."""
-    kept = scored.filter(F.col("probability") >= threshold)
+def mark_pairs(scored: DataFrame, threshold: float, margin: float | None = None, top_k: int | None = None) -> DataFrame:
+    """Adds `accepted`: threshold, then margin against the entity's best of all sources, then the best top_k of each source."""
+    good = F.coalesce(F.col("probability") >= threshold, F.lit(False))
+    marked = scored.withColumn("accepted", good)
     if margin is not None:
-        best = F.max("probability").over(Window.partitionBy(PAIR[0]))
-        kept = kept.withColumn("best", best).filter(F.col("probability") >= F.col("best") - margin).drop("best")
+        best = F.max(F.when(F.col("accepted"), F.col("probability"))).over(Window.partitionBy(PAIR[0]))
+        marked = marked.withColumn("best", best).withColumn("accepted", F.col("accepted") & (F.col("probability") >= F.col("best") - margin)).drop("best")
     if top_k is not None:
-        rank = F.row_number().over(Window.partitionBy(PAIR[0], PAIR[2]).orderBy(F.desc("probability"), PAIR[1]))
-        kept = kept.withColumn("rank", rank).filter(F.col("rank") <= top_k).drop("rank")
-    return kept
+        rank = F.row_number().over(Window.partitionBy(PAIR[0], PAIR[2]).orderBy(F.desc("accepted"), F.desc("probability"), PAIR[1]))
+        marked = marked.withColumn("rank", rank).withColumn("accepted", F.col("accepted") & (F.col("rank") <= top_k)).drop("rank")
+    return marked
+
+
+def filter_pairs(scored: DataFrame, threshold: float, margin: float | None = None, top_k: int | None = None) -> DataFrame:
+    """The pairs that mark_pairs accepts; those below the threshold go before anything is sorted."""
+    return mark_pairs(scored.filter(F.col("probability") >= threshold), threshold, margin, top_k).filter("accepted").drop("accepted")
 
 
 def linkages(accepted: DataFrame, entities: DataFrame) -> DataFrame:
@@ -27,16 +33,22 @@ def linkages(accepted: DataFrame, entities: DataFrame) -> DataFrame:
     return entities.select(PAIR[0]).distinct().join(lists, PAIR[0], "left").fillna({"matched_entity_ids": ""})
 
 
-def diagnostics(scored: DataFrame, accepted: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row: entities by number of matches, accepted by source, probabilities of accepted and rejected pairs."""
-    by = accepted.groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n"))
-    counts = entities.select(PAIR[0]).distinct().join(by, PAIR[0], "left").agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("n").isNull()).alias("zero"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("multi"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
-    p = F.col("probability")
-    stats = accepted.agg(F.count_if(F.col(PAIR[2]) == "source2").alias("source2_accepted"), F.count_if(F.col(PAIR[2]) == "source3").alias("source3_accepted"), F.round(F.min(p), 6).alias("accepted_least"), F.round(F.avg(p), 6).alias("accepted_mean"), F.round(F.percentile(p, F.lit(0.5)), 6).alias("accepted_median"), F.round(F.stddev_pop(p), 6).alias("accepted_std"), F.round(F.max(p), 6).alias("accepted_most"))
-    rest = scored.join(accepted.select(*PAIR), PAIR, "left_anti").agg(F.count(F.lit(1)).alias("rejected"), F.round(F.avg(p), 6).alias("rejected_mean"), F.round(F.max(p), 6).alias("rejected_most"))
+def diagnostics(marked: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row over pairs with `accepted`: entities by number of matches, accepted by source, probabilities of accepted and rejected pairs."""
+    p, yes = F.col("probability"), F.col("accepted")
+    of = {"accepted": F.when(yes, p), "rejected": F.when(~yes, p)}
+    by = marked.groupBy(PAIR[0]).agg(F.count_if(yes).alias("n"))
+    counts = entities.select(PAIR[0]).distinct().join(by, PAIR[0], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = counts.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("n") == 0).alias("zero"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("multi"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    stats = marked.agg(
+        F.count_if(yes & (F.col(PAIR[2]) == "source2")).alias("source2_accepted"),
+        F.count_if(yes & (F.col(PAIR[2]) == "source3")).alias("source3_accepted"),
+        F.count_if(~yes).alias("rejected"),
+        *[F.round(f, 6).alias(f"{k}_{n}") for k, v in of.items() for n, f in (("least", F.min(v)), ("mean", F.avg(v)), ("median", F.percentile(v, F.lit(0.5))), ("std", F.stddev_pop(v)), ("most", F.max(v)))],
+    )
     pct = {f"{c}_pct": F.round(100.0 * F.col(c) / F.greatest("entities", F.lit(1)), 6) for c in ("zero", "single", "multi")}
-    # three frames of one row each
-    return counts.join(F.broadcast(stats)).join(F.broadcast(rest)).withColumns(pct)
+    # two frames of one row each
+    return counts.join(F.broadcast(stats)).withColumns(pct)
 
 
 def worst_errors(scored: DataFrame, threshold: float, n: int = 10) -> DataFrame:

@@ -9,10 +9,17 @@ from kinspan.functions import text as T
 from kinspan.operators.blocking import PAIR
 
 
-def nearest_quantile(c: Column, q: float) -> Column:
-    """The value at the index nearest to q * (n - 1), exact; sorts the group's values in one task."""
-    values = F.sort_array(F.collect_list(c))
-    return F.try_element_at(values, (F.rint((F.size(values) - 1) * F.lit(q)) + 1).cast("int"))
+def nearest_quantiles(df: DataFrame, by: list[str], column: str, quantiles: dict[str, float]) -> DataFrame:
+    """By group, the value at the index nearest to q * (n - 1) of each quantile, exact; nulls are left out.
+
+    Values are counted first, so what is sorted are a group's distinct values, not its rows.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    all_ = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    last = F.sum("rows").over(all_.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumns({"n": F.sum("rows").over(all_), "last": last})
+    at = {k: F.rint((F.col("n") - 1) * F.lit(q)) for k, q in quantiles.items()}
+    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("last") > v, F.col("value"))).alias(k) for k, v in at.items()])
 
 
 def raw_source(df: DataFrame) -> DataFrame:
@@ -99,9 +106,15 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def every(df: DataFrame, key: str, step: int) -> DataFrame:
-    """Every step-th row by key, found by ranks within ranges of the key."""
-    ranged = df.repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    return ranged.withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy(key))).filter((F.col("row") - 1) % step == 0).drop("part", "row")
+    """Every step-th row by key, from the first: ranks within ranges of the key, and the rows of all ranges before."""
+    if step < 1:
+        raise ValueError(f"a step of at least 1 is wanted: {step}")
+    ranged = df.repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id())
+    inside = ranged.withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy(key)))
+    # a row for each partition
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = sizes.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return inside.join(F.broadcast(before), "part").filter((F.col("before") + F.col("row") - 1) % step == 0).select(*df.columns)
 
 
 def hard_negatives(processed: DataFrame, truth: DataFrame, least: int = 4, chunk: int = 1000, seed: int = 42) -> DataFrame:

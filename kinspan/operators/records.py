@@ -117,3 +117,8 @@ def representations(processed: DataFrame) -> DataFrame:
 
 def needs_transliteration(c: Column) -> Column:
     return c.rlike(INDIC)
+
+
+def with_aliases(represented: DataFrame) -> DataFrame:
+    """Adds the older names of the address representation."""
+    return represented.withColumns({"is_address_missing": F.col("a_missing"), "normalized_address": F.col("a_text"), "address_tokens": F.col("a_set"), "primary_address_number": F.col("a_number"), "all_numeric_tokens": F.col("a_numbers")})

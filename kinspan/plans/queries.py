@@ -11,7 +11,7 @@ from kinspan.functions import text as T
 from kinspan.functions.translit import transliterate
 from kinspan.operators import blocking as B
 from kinspan.operators import features as X
-from kinspan.operators import metrics, postprocess, profile, supervised, validate
+from kinspan.operators import metrics, postprocess, profile, summaries, supervised, validate
 from kinspan.operators.records import process
 from kinspan.plans import oracle as O
 from kinspan.plans.views import er_part, keyed, prepared, processed, represented, truth_pairs
@@ -514,7 +514,7 @@ select count(*) entities, count(*) filter (n = 0) zero, count(*) filter (n = 1)
 
 @query("q_diagnostics", O.sql("", "scored").rstrip() + ",\n" + DIAGNOSTICS)
 def diagnostics(spark, sf):
-    df = postprocess.diagnostics(scored(spark, sf), accepted(spark, sf), entities(spark, sf))
+    df = postprocess.diagnostics(postprocess.mark_pairs(scored(spark, sf), 0.5, 0.15, 2), entities(spark, sf))
     return df.select("entities", "zero", "single", "multi", "most", "source2_accepted", "source3_accepted", "accepted_least", "accepted_mean", "accepted_median", "accepted_most", "rejected")
 
 
@@ -547,7 +547,8 @@ def distribution(spark, sf):
 @query("q_nearest_quantile", "select c_mktsegment, list_sort(list(c_acctbal))[round_even((count(*) - 1) * 0.9::double, 0)::int + 1] q90, round(quantile_cont(c_acctbal, 0.9), 6) q90_linear from customer group by 1")
 def nearest_quantile(spark, sf):
     df = spark.read.parquet(f"{sf}/customer.parquet")
-    return df.groupBy("c_mktsegment").agg(profile.nearest_quantile(F.col("c_acctbal"), 0.9).alias("q90"), r6(F.percentile("c_acctbal", F.lit(0.9))).alias("q90_linear"))
+    linear = df.groupBy("c_mktsegment").agg(r6(F.percentile("c_acctbal", F.lit(0.9))).alias("q90_linear"))
+    return profile.nearest_quantiles(df, ["c_mktsegment"], "c_acctbal", {"q90": 0.9}).join(linear, "c_mktsegment")
 
 
 AUDIT = "select kind, value, n from (select *, row_number() over (partition by kind order by n desc, value) r from (select 'token' kind, value, count(*) n from (select unnest(n_tokens) as value from ent) group by value union all select 'last_two', value, count(*) from (select n_tokens[-2] || ' ' || n_tokens[-1] as value from ent where len(n_tokens) >= 2) group by value)) where r <= 200"
@@ -595,3 +596,281 @@ def gbt_rows(spark, sf):
     dealt = supervised.split(pairs)
     model = Matcher(iterations=10).fit(dealt.filter("split = 'train'"))
     return model.predict_proba(dealt.filter("split = 'validation'")).select(*PAIR, "label", "probability")
+
+
+# recall and volume per cap
+
+PRODUCTION_CAPS = (100, 500, 1000, 5000, 10000, 50000)
+CAP_ROWS = "(values " + ", ".join(f"({c})" for c in PRODUCTION_CAPS) + ") c(cap)"
+LEAST = """least_ as (select t.source1_entity_id, t.candidate_entity_id, min(s.pairs) least from truth t join keys a on a.entity_id = t.source1_entity_id
+  join keys b on b.entity_id = t.candidate_entity_id and b.label = a.label and b.key = a.key join sizes s on s.label = a.label and s.key = a.key group by 1, 2)"""
+
+
+def _cap_recall(name: str, by: tuple[str, ...]) -> None:
+    cols = "".join(f", {c}" for c in by)
+    body = f"select cap{cols}, count(*) truth, count(*) filter (least <= cap) recovered, round(count(*) filter (least <= cap)::double / count(*), 6) recall from (select t.*, k.country_normalized country, least from truth t left join least_ using (source1_entity_id, candidate_entity_id) left join keyed k on k.entity_id = t.source1_entity_id) cross join {CAP_ROWS} group by cap{cols}"
+
+    @query(name, O.sql("", "truth", "keys", "sizes").rstrip() + f",\n{LEAST}\n{body}")
+    def run(spark, sf):
+        return B.cap_recall(keyed(spark, sf), truth_pairs(spark, sf), list(PRODUCTION_CAPS), by=by)
+
+
+_cap_recall("q_cap_recall", ())
+_cap_recall("q_cap_recall_strata", ("candidate_source", "country"))
+
+
+@query("q_cap_volume", O.sql(f"select cap, coalesce(sum(pairs) filter (pairs <= cap), 0)::bigint pairs_sum, count(*) filter (pairs > cap) oversized, count(*) blocks, round(coalesce(sum(pairs) filter (pairs <= cap), 0)::double / (select count(*) from er where source = 'source1'), 6) pairs_per_s1 from sizes cross join {CAP_ROWS} group by cap", "sizes"))
+def cap_volume(spark, sf):
+    return B.cap_volume(keyed(spark, sf), list(PRODUCTION_CAPS))
+
+
+SINGLE_CAP = 20
+
+
+@query("q_single_key_cap", O.sql("", "truth", "keys", "sizes").rstrip() + f""",
+hit as (select a.label, count(distinct (t.source1_entity_id, t.candidate_entity_id)) recovered from truth t join keys a on a.entity_id = t.source1_entity_id join keys b on b.entity_id = t.candidate_entity_id and b.label = a.label and b.key = a.key
+  join sizes s on s.label = a.label and s.key = a.key where s.pairs <= {SINGLE_CAP} group by 1)
+select label, coalesce(sum(pairs) filter (pairs <= {SINGLE_CAP}), 0)::bigint pairs_capped, count(*) filter (pairs > {SINGLE_CAP}) oversized, sum(pairs)::bigint pairs_all, coalesce(any_value(recovered), 0) recovered, round(coalesce(any_value(recovered), 0)::double / (select count(*) from truth), 6) recall
+from sizes left join hit using (label) group by label""")
+def single_key_cap(spark, sf):
+    return B.single_keys(keyed(spark, sf), truth_pairs(spark, sf), SINGLE_CAP)
+
+
+@query("q_s1_coverage", O.sql("select count(*) entities, count(*) filter (k) with_key, count(*) filter (c) with_candidate, count(*) filter (m) with_true_pair from (select e.entity_id, e.entity_id in (select entity_id from keys) k, e.entity_id in (select source1_entity_id from cand) c, e.entity_id in (select source1_entity_id from cand semi join truth using (source1_entity_id, candidate_entity_id)) m from er e where source = 'source1')", "er", "keys", "cand", "truth", cap=10**15))
+def s1_coverage(spark, sf):
+    return B.s1_coverage(keyed(spark, sf), truth_pairs(spark, sf))
+
+
+MISSES = ZERO_SQL.split("count(*) pairs")[0] + "source1_entity_id, candidate_entity_id from (select a.entity_id source1_entity_id, b.entity_id candidate_entity_id, " + ZERO_SQL.split("from (select ")[1].replace(" group by 1", "")
+
+
+def missed(spark: SparkSession, sf: str, labels: tuple[str, ...]) -> DataFrame:
+    """True pairs that share none of the given keys, with what the categories look at."""
+    tm = B.truth_matches(keyed(spark, sf), truth_pairs(spark, sf)).filter(~B.any_of(labels)).select(*PAIR)
+    p = processed(spark, sf)
+    one = p.selectExpr(f"entity_id {PAIR[0]}", "business_name_normalized n1", "country_normalized c1", "business_name_transliterated tr1", "business_address_normalized a1")
+    two = p.selectExpr(f"entity_id {PAIR[1]}", "business_name_normalized n2", "country_normalized c2", "business_name_transliterated tr2", "business_name_script sc2", "business_address_normalized a2")
+    return tm.join(one, PAIR[0]).join(two, PAIR[1])
+
+
+@query("q_miss_examples", O.sql("", "tm", "ent").rstrip() + f",\nmiss as ({MISSES}) select category, source1_entity_id, candidate_entity_id from (select *, row_number() over (partition by category order by md5(concat_ws('|', '42', source1_entity_id, candidate_entity_id)), source1_entity_id, candidate_entity_id) r from miss) where r <= 3")
+def miss_examples(spark, sf):
+    found = missed(spark, sf, ("D", "F")).withColumn("category", B.miss_category())
+    return summaries.examples(found, "category", PAIR[:2], 3).select("category", *PAIR[:2])
+
+
+INDIA = """select case when coalesce(a2, '') = '' then 'missing_address' when not regexp_matches(coalesce(a1, ''), '[0-9]') or not regexp_matches(a2, '[0-9]') then 'unstructured_descriptive_indian_address_no_house_number'
+  when list_has_any(t1, t2) then 'word_order_or_transposition_in_indic_names' when t1[1] <> t2[1] then 'first_token_spelling_or_honorific_variance' else 'completely_different_name' end cause, count(*) pairs
+from (select a.business_address_normalized a1, b.business_address_normalized a2, string_split(a.business_name_normalized, ' ') t1, string_split(b.business_name_normalized, ' ') t2
+  from tm join ent a on a.entity_id = tm.source1_entity_id join ent b on b.entity_id = tm.candidate_entity_id where not (m_D or m_F) and a.country_normalized = 'india') group by 1"""
+
+
+@query("q_india_causes", O.sql(INDIA, "tm", "ent"))
+def india_causes(spark, sf):
+    return missed(spark, sf, ("D", "F")).filter("c1 = 'india'").groupBy(summaries.india_cause().alias("cause")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+# ground truth, splits
+
+
+@query("q_gt_stats", O.sql("", "er", "truth").rstrip() + f",\n{GT}, n as (select case when matched_entity_ids is null then 0 else len(string_split(matched_entity_ids, ',')) end n from gt) select count(*) entities, count(*) filter (n = 0) unmatched, count(*) filter (n = 1) singletons, sum(n)::bigint matches, round(avg(n), 6) mean, quantile_cont(n, 0.5)::double median, max(n)::int most from n")
+def gt_stats(spark, sf):
+    return summaries.truth_stats(raw_truth(spark, sf))
+
+
+@query("q_gt_normalize", O.sql("select source1_entity_id, candidate_entity_id, case when right(candidate_entity_id, 1) = '7' then 'elsewhere' else candidate_source end candidate_source from truth", "truth"))
+def gt_normalize(spark, sf):
+    stated = F.when(F.col(PAIR[1]).endswith("7"), "Elsewhere ").when(F.col(PAIR[1]).endswith("8"), F.lit(""))
+    twice = truth_pairs(spark, sf).withColumn(PAIR[2], stated).withColumn(PAIR[1], F.concat(F.lit(" "), PAIR[1]))
+    return supervised.normalize_truth(twice.unionByName(twice))
+
+
+@query("q_split_overlaps", O.sql("", "scored").rstrip() + ",\n" + SPLIT + """select (select count(*) from (select source1_entity_id from sp where split = 'train' intersect select source1_entity_id from sp where split = 'validation')) s1_entities,
+ (select count(*) from (select candidate_entity_id from sp where split = 'train' intersect select candidate_entity_id from sp where split = 'validation')) candidates, 0::bigint pairs""")
+def split_overlaps(spark, sf):
+    dealt = supervised.split(scored(spark, sf))
+    return supervised.overlaps(dealt.filter("split = 'train'"), dealt.filter("split = 'validation'"))
+
+
+@query("q_validation_recall", O.sql("", "scored").rstrip() + ",\n" + SPLIT + "select count(*) truth, count(p.split) recovered, round(count(p.split)::double / count(*), 6) recall from truth t left join (select * from sp where split = 'validation') p using (source1_entity_id, candidate_entity_id) where t.source1_entity_id in (select source1_entity_id from sp where split = 'validation')")
+def validation_recall(spark, sf):
+    side = supervised.split(scored(spark, sf)).filter("split = 'validation'")
+    return supervised.blocker_recall(side, truth_pairs(spark, sf), side)
+
+
+# profiles
+
+
+@query("q_text_lengths", O.sql(" union all ".join(f"select source, '{c}' as \"column\", min(length({c}))::int as least, round(avg(length({c})), 6) mean, max(length({c}))::int most, round(avg(len(string_split({c}, ' '))), 6) words_mean, " + ", ".join(f"list_sort(list(length({c})))[round_even((count(*) - 1) * {q}::double, 0)::int + 1] p{int(q * 100)}" for q in (0.5, 0.9, 0.99)) + f" from er where {c} is not null group by 1" for c in ("business_name", "business_address")), "er"))
+def text_lengths(spark, sf):
+    return summaries.text_lengths(prepared(spark, sf), ["source"], ["business_name", "business_address"])
+
+
+@query("q_top_names", O.sql("select source, value, rows, rank from (select source, business_name_normalized as value, count(*) as rows, row_number() over (partition by source order by count(*) desc, business_name_normalized) as rank from ent group by 1, 2) where rank <= 10", "ent"))
+def top_names(spark, sf):
+    return summaries.top_values(processed(spark, sf), ["source"], "business_name_normalized")
+
+
+@query("q_country_distribution", O.sql("select source, country as value, count(*) as rows, round(100.0::double * count(*) / any_value(n), 6) pct from er join (select source, count(*) n from er group by 1) using (source) group by 1, 2", "er"))
+def country_distribution(spark, sf):
+    return summaries.shares(processed(spark, sf), ["source"], "country")
+
+
+@query("q_script_distribution", O.sql("select source, case when business_address is null then null else 'Latin' end as value, count(*) as rows, round(100.0::double * count(*) / any_value(n), 6) pct from er join (select source, count(*) n from er group by 1) using (source) group by 1, 2", "er"))
+def script_distribution(spark, sf):
+    return summaries.shares(processed(spark, sf), ["source"], "business_address_script")
+
+
+@query("q_source_columns", O.sql(" union all ".join(f"select '{c}' as \"column\", 'string' as type, count(*) filter (coalesce({c}, '') = '') empty, source from er group by source" for c in ("entity_id", "business_name", "business_address", "country")), "er"))
+def source_columns(spark, sf):
+    return summaries.source_columns(processed(spark, sf).select("source", "entity_id", "business_name", "business_address", "country"), "source")
+
+
+NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+@query("q_column_health", " union all ".join(f"select '{c}' as \"column\", count(*) filter ({c} is null) nulls, count(*) filter (isnan({c}::double)) nans, count(*) filter (isinf({c}::double)) infinite from orders" for c in NUMERIC))
+def column_health(spark, sf):
+    return validate.column_health(spark.read.parquet(f"{sf}/orders.parquet").select(*[F.col(c).cast("double").alias(c) for c in NUMERIC]))
+
+
+@query("q_every_fifth", "select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) r from orders) where (r - 1) % 5 = 0")
+def every_fifth(spark, sf):
+    return profile.every(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey"), "o_orderkey", 5)
+
+
+# negatives and summaries
+
+
+HARD_WHOLE = """lt as (select source, entity_id, country_normalized c, unnest(list_distinct(list_filter(n_tokens, lambda t: length(t) >= 4))) tok from ent),
+hp as (select distinct a.entity_id source1_entity_id, b.entity_id candidate_entity_id, b.source candidate_source from lt a join lt b using (c, tok) where a.source = 'source1' and b.source <> 'source1'),
+hn as (select *, row_number() over (partition by source1_entity_id order by md5(concat_ws('|', '42', source1_entity_id, candidate_entity_id)), candidate_entity_id) r from hp anti join truth using (source1_entity_id, candidate_entity_id))
+"""
+RANDOM = """ra as (select entity_id source1_entity_id, row_number() over (order by md5('42a|' || entity_id), entity_id) i from er where source = 'source1'),
+rb as (select entity_id candidate_entity_id, source candidate_source, row_number() over (order by md5('42b|' || entity_id), entity_id) i from er where source <> 'source1'),
+rn as (select * exclude (i) from ra join rb using (i) anti join truth using (source1_entity_id, candidate_entity_id) where i <= 500)
+"""
+
+
+@query("q_hard_negatives_whole", O.sql("", "ent", "truth").rstrip() + ",\n" + HARD_WHOLE + f"select {O.PAIR} from hn where r = 1")
+def hard_negatives_whole(spark, sf):
+    """Hard negatives over all tokens, however many entities share one."""
+    return profile.hard_negatives(processed(spark, sf), truth_pairs(spark, sf))
+
+
+@query("q_random_negatives", O.sql("", "er", "truth").rstrip() + ",\n" + RANDOM + f"select {O.PAIR} from rn")
+def random_negatives(spark, sf):
+    return summaries.random_negatives(prepared(spark, sf), truth_pairs(spark, sf), 500)
+
+
+SUMMARY = ["name_token_jaccard", "name_char_3gram_jaccard", "address_token_jaccard", "shared_address_number_count"]
+OF_KIND = f"""fp as (select p.kind, {", ".join(f"a.{x} {x}1, b.{x} {x}2" for x in "nt tr ns nc ng nf ac sx ad aset ag an pc am cn".split())} from kinds p join rep a on a.entity_id = p.source1_entity_id join rep b on b.entity_id = p.candidate_entity_id),
+fv as ({" union all ".join(f"select kind, '{f}' feature, {O.FEATURES[f]}::double v from fp" for f in SUMMARY)})
+select kind, feature, count(*) as rows, round(avg(v), 6) mean, round(quantile_cont(v, 0.5), 6) median, round(list_sort(list(v))[round_even((count(*) - 1) * 0.1::double, 0)::int + 1], 6) p10, round(list_sort(list(v))[round_even((count(*) - 1) * 0.9::double, 0)::int + 1], 6) p90 from fv group by 1, 2"""
+
+
+def summarised(spark: SparkSession, sf: str, kinds: dict[str, DataFrame]) -> DataFrame:
+    pairs = None
+    for k, df in kinds.items():
+        part = df.select(*PAIR).withColumn("kind", F.lit(k))
+        pairs = part if pairs is None else pairs.unionByName(part)
+    both = X.with_entities(pairs, represented(spark, sf))
+    made = X.name_features() | X.address_features()
+    return summaries.feature_summary(both.select("kind", *[made[f].cast("double").alias(f) for f in SUMMARY]), SUMMARY, ["kind"])
+
+
+@query("q_match_summary", O.sql("", "truth", "rep").rstrip() + f",\nkinds as (select 'true' kind, source1_entity_id, candidate_entity_id from truth),\n{OF_KIND}")
+def match_summary(spark, sf):
+    return summarised(spark, sf, {"true": truth_pairs(spark, sf)})
+
+
+@query("q_non_match_summary", O.sql("", "er", "truth", "rep").rstrip() + ",\n" + HARD_WHOLE.rstrip() + ",\n" + RANDOM.rstrip() + f",\nkinds as (select 'hard' kind, source1_entity_id, candidate_entity_id from hn where r = 1 union all select 'random', source1_entity_id, candidate_entity_id from rn),\n{OF_KIND}")
+def non_match_summary(spark, sf):
+    p, truth = prepared(spark, sf), truth_pairs(spark, sf)
+    return summarised(spark, sf, {"hard": profile.hard_negatives(p, truth), "random": summaries.random_negatives(p, truth, 500)})
+
+
+# table text in Indic scripts and back: a letter is written as its consonant and virama or its vowel
+
+LETTERS = dict(zip("aiueokgcjtdnpbmyrlvsh", [0x05, 0x07, 0x09, 0x0F, 0x13, 0x15, 0x17, 0x1A, 0x1C, 0x24, 0x26, 0x28, 0x2A, 0x2C, 0x2E, 0x2F, 0x30, 0x32, 0x35, 0x38, 0x39], strict=True))
+INDIC_SCRIPTS = ["Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Odia", "Telugu", "Kannada", "Malayalam"]
+
+
+def indic_names(spark: SparkSession, sf: str) -> DataFrame:
+    """p_partkey, p_name, its script and its letters in that script; letters without a counterpart stay Latin."""
+    from kinspan.functions.fixed import INDIC_BLOCKS
+
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", F.pmod("p_partkey", F.lit(len(INDIC_SCRIPTS))).alias("k"))
+    text = F.col("p_name")
+    for i, script in enumerate(INDIC_SCRIPTS):
+        base = INDIC_BLOCKS[script][0]
+        written = F.col("p_name")
+        for letter, offset in LETTERS.items():
+            written = F.replace(written, F.lit(letter), F.lit(chr(base + offset) + (chr(base + 0x4D) if offset >= 0x15 else "")))
+        text = F.when(F.col("k") == i, written).otherwise(text)
+    script = F.element_at(F.array(*map(F.lit, INDIC_SCRIPTS)), (F.col("k") + 1).cast("int"))
+    return part.select("p_partkey", "p_name", script.alias("script"), text.alias("text"))
+
+
+SCRIPT_CASE = "case p_partkey % 8 " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(INDIC_SCRIPTS)) + " end"
+
+
+@query("q_translit_table", "select p_partkey, p_name as out from part")
+def translit_table(spark, sf):
+    return indic_names(spark, sf).select("p_partkey", transliterate(F.col("text")).alias("out"))
+
+
+@query("q_script_table", f"select p_partkey, case when regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlvsh ]') then 'Mixed' else {SCRIPT_CASE} end script from part")
+def script_table(spark, sf):
+    return indic_names(spark, sf).select("p_partkey", T.script(F.col("text")).alias("script"))
+
+
+@query("q_script_details", f"select p_partkey, length(regexp_replace(p_name, '[^aiueokgcjtdnpbmyrlvsh]', '', 'g')) + length(regexp_replace(p_name, '[^kgcjtdnpbmyrlvsh]', '', 'g')) + length(regexp_replace(p_name, '[aiueokgcjtdnpbmyrlvsh ]', '', 'g')) total, regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlvsh ]') is_mixed, {SCRIPT_CASE} dominant from part")
+def script_details(spark, sf):
+    d = indic_names(spark, sf).select("p_partkey", T.script_details(F.col("text")).alias("d"))
+    return d.select("p_partkey", F.col("d.total").alias("total"), F.col("d.is_mixed").alias("is_mixed"), F.col("d.dominant").alias("dominant"))
+
+
+@query("q_profile_scripts", f"select script, count(*) as rows from (select case when {SCRIPT_CASE} = 'Odia' then 'Oriya' else {SCRIPT_CASE} end script from part union all select 'Latin' from part where regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlvsh ]')) group by 1")
+def profile_scripts(spark, sf):
+    found = indic_names(spark, sf).select(F.explode(summaries.profile_scripts(F.col("text"))).alias("script"))
+    return found.groupBy("script").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("q_vocabulary_audit", f"with t as (select unnest(string_split(p_name, ' ')) as value from part), a as (select value, count(*) as rows, row_number() over (order by count(*) desc, value) r from t group by 1) select 'token' kind, value, rows, case value when 'azure' then 'colour' end keyword from a where r <= 200 union all select 'script', case when regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlvsh ]') then 'Mixed' else {SCRIPT_CASE} end, count(*), null from part group by 2 union all select 'last', string_split(p_name, ' ')[-1], count(*), null from part group by 2")
+def vocabulary_audit(spark, sf):
+    named = indic_names(spark, sf).withColumn("latin", transliterate(F.col("text")))
+    rows = named.select(T.script(F.col("text")).alias("business_name_script"), T.name_tokens(F.col("latin")).alias("business_name_tokens"))
+    return summaries.vocabulary_audit(rows, {"azure": "colour"})
+
+
+# models
+
+
+def _labelled_features(spark: SparkSession, sf: str) -> DataFrame:
+    return supervised.label_pairs(X.pair_features(candidates(spark, sf), represented(spark, sf)), truth_pairs(spark, sf))
+
+
+@query("q_gbt_importances")
+def gbt_importances(spark, sf):
+    """Features by gain of the boosted matcher; SQL cannot express the fit."""
+    from kinspan.operators.model import Matcher
+
+    rows = Matcher(iterations=5).fit(_labelled_features(spark, sf)).importances()
+    return spark.createDataFrame(rows, "feature string, value double, pct double")
+
+
+@query("q_oof_threshold")
+def oof_threshold(spark, sf):
+    """The threshold of the best F-beta over out-of-fold scores; SQL cannot express the fits."""
+    from kinspan.operators.model import best_threshold_oof
+
+    return best_threshold_oof(_labelled_features(spark, sf), folds=3, iterations=3)
+
+
+@query("q_sampling_comparison")
+def sampling_comparison(spark, sf):
+    """F-beta on one validation side of a matcher trained on all pairs and of one trained on sampled negatives."""
+    from kinspan.operators.model import compare_sampling
+
+    return compare_sampling(_labelled_features(spark, sf), ratio=1.0, iterations=3)

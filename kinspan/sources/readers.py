@@ -6,31 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspan.operators.records import RAW
-from kinspan.operators.validate import ValidationError, checked_namespace, headers
+from kinspan.operators.validate import PREFIX, ValidationError, checked_namespace, headers
+from kinspan.sources.staging import file_system
 
 # Texts that the profiling loader takes for nulls.
 NULLS = ["", "NULL", "null", "None", "NaN"]
 
 
-def dataset_path(root: str, split: str, name: str) -> str:
-    return f"{root}/{split}/{split}_{name}.tsv"
+def dataset_path(spark: SparkSession, root: str, split: str, name: str) -> str:
+    """The file of a split's source: in the split's folder, or beside it as older layouts have it; an error if neither is there."""
+    tried = [f"{root}/{split}/{split}_{name}.tsv", f"{root}/{split}/{name}.tsv", f"{root}/{split}_{name}.tsv"]
+    for path in tried:
+        fs, at = file_system(spark, path)
+        if fs.exists(at):
+            return path
+    raise ValidationError(f"none of these is there: {tried}")
 
 
 def read_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """TSV without quoting: short rows are padded with '', overflow cells stay in the last column with their tabs."""
+    """TSV without quoting: short rows are padded with '', overflow cells stay in the last column with their tabs.
+
+    The first line of each file is its header; a later line equal to it is a row like others.
+    """
     lines = spark.read.text(path)
     head = lines.limit(1).collect()
-    names = [h.strip() for h in head[0][0].lstrip("﻿").split("\t")] if head else []
+    names = [h.strip() for h in head[0][0].lstrip("\ufeff").split("\t")] if head else []
     headers(names, columns)
     cells = F.split("value", "\t", len(names))
-    body = lines.filter((F.col("value") != head[0][0]) & (F.trim("value") != ""))
-    return body.select(*[F.coalesce(F.get(cells, F.lit(names.index(c))), F.lit("")).alias(c) for c in columns])
+    # the reader takes the header of each file away; a separator that no text holds leaves lines whole
+    body = spark.read.csv(path, schema="value string", header=True, sep="\x01", quote="", escape="", comment="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", maxCharsPerColumn=-1, enforceSchema=True)
+    return body.filter(F.trim("value") != "").select(*[F.coalesce(F.get(cells, F.lit(names.index(c))), F.lit("")).alias(c) for c in columns])
 
 
 def read_quoted(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """TSV with double quotes; a row that cannot be parsed fails the job."""
-    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", inferSchema=False, nullValue="\u0000", emptyValue="")
-    df = df.toDF(*[c.strip() for c in df.columns])
+    """TSV with double quotes, as the ingest reads by default: short rows are padded with '', cells beyond the header go."""
+    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", inferSchema=False, nullValue="\u0000", emptyValue="")
+    df = df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns])
     headers(df.columns, columns)
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
 
@@ -65,6 +76,30 @@ def load_processed(spark: SparkSession, folder: str, source: str | None = None,
     return df if columns is None else df.select(*[c for c in columns if c in df.columns])
 
 
+def discover_parts(spark: SparkSession, folder: str) -> tuple[dict[str, list[str]], list[str]]:
+    """Parquet files below a folder by source, and those that are out of place.
+
+    The file's name tells the source, or else the folders above it. A file of which neither does, or of which they tell
+    different sources, is out of place.
+    """
+    fs, at = file_system(spark, folder)
+    listed, found, misplaced = fs.listFiles(at, True), {}, []
+    top = fs.makeQualified(at).toString().rstrip("/")
+    while listed.hasNext():
+        path = listed.next().getPath().toString()
+        if not path.endswith(".parquet"):
+            continue
+        *above, name = path[len(top) + 1 :].split("/")
+        by_name = [s for s in PREFIX if s in name]
+        by_folder = [s for part in reversed(above) for s in PREFIX if s in part]
+        source = (by_name or by_folder or [None])[0]
+        if source is None or (by_name and by_folder and by_name[0] != by_folder[0]):
+            misplaced.append(path)
+        else:
+            found.setdefault(source, []).append(path)
+    return {k: sorted(v) for k, v in sorted(found.items())}, sorted(misplaced)
+
+
 def first_parts(spark: SparkSession, folder: str, n: int, source: str | None = None) -> DataFrame:
     """The first n part files by name."""
     files = sorted(load_processed(spark, folder, source).inputFiles())[:n]

@@ -19,22 +19,13 @@ def test_tsv_ragged_rows_and_namespace(spark, tmp_path):
         readers.read_lines(spark, str(path), ["nothing"])
 
 
-def test_parts_manifest_and_refusal(spark, tmp_path):
+def test_parts_and_refusal(spark, tmp_path):
     df = spark.range(25)
     sinks.write_parts(df.coalesce(1), str(tmp_path / "p"), rows=10)
     assert len(list((tmp_path / "p").glob("*.parquet"))) == 3
     sinks.write_features(df, str(tmp_path / "f"))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         sinks.write_features(df, str(tmp_path / "f"))
-    m = sinks.Manifest(str(tmp_path / "m.json"))
-    assert m.load() is None
-    m.save(10, 1, ["a"])
-    m.complete()
-    assert m.load()["status"] == "completed" and m.load()["rows_processed"] == 10
-    (tmp_path / "m.json").write_text("{")
-    assert m.load() is None
-
-
 def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.tsv").write_text("S1-1\tAcme Inc.\t12 Main St\tUS\n", encoding="utf-8")
