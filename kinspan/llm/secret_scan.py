@@ -48,12 +48,14 @@ _PADDING = "={1,2}(?![A-Za-z0-9+/_=-])"
 _IS = "[\"']?[ \t]{0,3}(?:=>|[=:])[ \t]{0,3}[\"']?"
 PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?(?=-----END)"
 IN_ADDRESS = r"(?<=://[^\s:/@]{1,40}:)[^\s:/@]{6,}+(?=@)"
-BEARER = r"(?<=(?i:bearer|basic) )[A-Za-z0-9._~+/=-]{16,}+"
 ASSIGNED = rf"(?<=(?i:{SECRET_NAMES}){_IS})[^\s\"'<>]{{6,}}+"
-ISSUED = rf"(?<!{_RUN})(?:{PREFIXES}){_RUN}{{{LEAST},}}+(?:\.{_RUN}++)*+"
-CANDIDATE = rf"(?<!{_RUN})(?={_RUN}{{{LEAST}}}|{_RUN}{{{LEAST - 2},}}{_PADDING}){_LETTERS}*+[0-9]{_RUN}*+(?:{_PADDING})?"
-MIXED_CASE = rf"(?<!{_RUN})(?={_LETTERS}{{{LONG}}})(?:[^\sa-z]*+[a-z]++(?=[A-Z])){{3}}{_LETTERS}*+"
-PATTERN = "|".join(f"(?:{p})" for p in (PEM, IN_ADDRESS, BEARER, ASSIGNED, ISSUED, CANDIDATE, MIXED_CASE))
+BEARER = r"(?<=(?i:bearer|basic) )[A-Za-z0-9._~+/=-]{16,}+"
+ISSUED = rf"(?:{PREFIXES}){_RUN}{{{LEAST},}}+(?:\.{_RUN}++)*+"
+CANDIDATE = rf"(?={_RUN}{{{LEAST}}}|{_RUN}{{{LEAST - 2},}}{_PADDING}){_LETTERS}*+[0-9]{_RUN}*+(?:{_PADDING})?"
+MIXED_CASE = rf"(?={_LETTERS}{{{LONG}}})(?:[A-Z+/_-]*+[a-z]++(?=[A-Z])){{3}}{_LETTERS}*+"
+# cheap conditions stand before those that look far behind: what comes after ':', '=', '>', a quote or a blank after these,
+# what comes after "bearer " or "basic ", and the start of a run
+PATTERN = rf"{PEM}|(?<=[=:>\"'][ \t]{{0,3}}[\"']?)(?:(?<=:){IN_ADDRESS}|{ASSIGNED})|(?<=[rRcC] ){BEARER}|(?<!{_RUN})(?={_RUN}{{{LEAST - 2}}})(?:{ISSUED}|{CANDIDATE}|{MIXED_CASE})"
 
 FEATURES = ["length", "upper", "lower", "digit", "other", "transitions", "distinct", "dictionary", "pairs", "hexadecimal", "numeric", "path", "address", "assigned", "named", "harmless", "quoted", "prefix", "uuid", "placeholder"]
 
