@@ -25,8 +25,9 @@ from kinspan.llm.common import fold_is, read, stage
 #: characters. This bounds the lexicon and the neighbours that the model holds.
 TOXIC_ROWS, CLEAN_ROWS, LONGEST = 4000, 8000, 100_000
 LEAST_CONTEXTS, CHANCE = 4, 0.01
-#: Most weight of a misspelling that no training row holds; two of them pass the threshold, one doesn't.
-UNSEEN = 0.25
+#: Most weight of a misspelling that no training row holds: that of a term whose known neighbours are in toxic rows only.
+#: One such misspelling in plain context passes the threshold.
+UNSEEN = 0.45
 THRESHOLD, FLOOR = 0.3, 0.01
 NEAR, REPORT = 12, 6
 

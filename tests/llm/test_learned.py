@@ -9,7 +9,8 @@ from kinspan.llm.language_id import DISCOUNT, ORDERS, Model, Scorer, identify, o
 from kinspan.llm.quality import op8_quality, score_quality
 from kinspan.llm.findings import HELD_OUT, LABELLED, labelled_findings
 from kinspan.llm.secret_scan import SEED, candidates, scan, scored
-from kinspan.llm.toxicity import FLOOR, Matcher, budget, op1_toxicity, score_toxicity
+from kinspan.llm.quality import NEIGHBOURS, SHARPNESS, vote
+from kinspan.llm.toxicity import _TOKEN, FLOOR, LOOKALIKE, Matcher, budget, context_class, fit, hits, op1_toxicity, score, score_toxicity
 
 SF = "/root/testdata/sf0.1"
 DOCS = "doc_id long, text string, lang string, source string, score double"
@@ -42,6 +43,40 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted and not r.toxic for r in rows) <= 0.05 * len(rows)
 
 
+def brute_score(text, known, unseen, share):
+    clean, found = 1 - FLOOR, False
+    tokens = list(_TOKEN.finditer((text or "").lower()))
+    for i, t in enumerate(tokens):
+        word = t[0] if t[0].isalpha() else t[0].translate(LOOKALIKE)
+        near = min(((edits(word, x), x) for x in unseen if abs(len(x) - len(word)) <= 2 and edits(word, x) <= budget(len(x))), default=None)
+        weight = known[word] if word in known else unseen[near[1]] if near else 0.0
+        if weight > 0.02:
+            clean *= 1 - weight * share[context_class(tokens, i, text.lower())]
+            found = True
+    return 1 - clean if found else FLOOR
+
+
+def test_toxicity_matches_brute_force_and_finds_one_misspelling(spark):
+    rng = np.random.default_rng(6)
+    plain = "light river stone house green table paper water music garden window forest bridge summer winter".split()
+    some = lambda: " ".join(rng.choice(plain, 4))
+    docs = [(i, f"{some()} {w} {some()}") for i, w in enumerate(["idiot", "moron", "scumbag"] * 20)] + [(100 + i, f"{some()} {some()}") for i in range(120)]
+    labels = [(i, 1, int(i < 100)) for i, _ in docs]
+    extra = [(300, "such an idiiot he is"), (301, 'he wrote "what an idiot" there'), (302, "a m0ron and an 1diot"), (303, ""), (304, None), (305, "calm water and stone"), (306, "plain words " * 30_000 + "idiot"), (300, "such an idiiot he is")]
+    rows = [(i, t, "clash", 9, 9) for i, t in docs + extra]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string, n_hits int, toxic int")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = sorted((r.doc_id, round(r.score, 9), r.predicted) for r in score_toxicity(df, table).collect())
+    learned = table.filter("pmod(crc32(cast(doc_id as string)), 4) <> 2").select("doc_id", "toxic")
+    model = fit(df.select("doc_id", "text"), learned)
+    assert {"idiot", "moron", "scumbag"} <= set(model[1])
+    want = sorted((i, round(brute_score(t, *model), 9), int(brute_score(t, *model) >= 0.3)) for i, t in docs + extra)
+    assert got == want
+    flagged = {i for i, _, p in got if p}
+    assert {300, 302, 306} <= flagged and not {303, 304, 305} & flagged
+    assert all(abs(score(hits(t or "", Matcher(sorted(model[1])), model[0], model[1]), model[2]) - brute_score(t, *model)) < 1e-12 for _, t in extra)
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = score_toxicity(spark.createDataFrame(ODD, DOCS).drop("score"), labels).collect()
@@ -111,6 +146,27 @@ def test_quality_held_out(spark):
     assert sum(r.predicted == r.quality for r in rows) >= 0.97 * len(rows)
 
 
+def test_vote_matches_brute_force():
+    rng = np.random.default_rng(4)
+    unit = lambda n: (lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))(rng.normal(size=(n, 12)))
+    z, labelled, label, weight = unit(300), unit(5000), rng.integers(0, 2, 5000).astype(np.float32), rng.uniform(0.5, 2, 5000).astype(np.float32)
+    got = vote(z, labelled, label, weight)
+    for row, value in zip(z, got, strict=True):
+        cosine = labelled.astype(float) @ row.astype(float)
+        nearest = sorted(range(5000), key=lambda i: -cosine[i])[:NEIGHBOURS]
+        w = [np.exp(SHARPNESS * (cosine[i] - cosine[nearest[0]])) * max(cosine[i], 1e-3) * weight[i] for i in nearest]
+        assert abs(sum(a * label[i] for a, i in zip(w, nearest, strict=True)) / sum(w) - value) < 1e-4
+    assert vote(z[:2], labelled[:1], label[:1], weight[:1]).tolist() == [label[0], label[0]]
+
+
+def test_quality_of_an_empty_table_and_clashing_columns(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string, score string, quality string, predicted string"
+    assert score_quality(spark.createDataFrame([], schema), labels).collect() == []
+    got = score_quality(spark.createDataFrame([(1, "a b c", "x", "x", "x"), (2, "d e f", "x", "x", "x"), (2, "d e f", "x", "x", "x")], schema), labels).collect()
+    assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
     got = score_quality(spark.createDataFrame(ODD, DOCS), labels).collect()
