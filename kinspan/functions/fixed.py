@@ -47,24 +47,92 @@ LEGAL_SUFFIXES = [
 
 # Transliterated business words and their English forms.
 BUSINESS_TERMS = {
-    "marketimga": "marketing", "praopartija": "properties", "emtarapraijeja": "enterprises", "emtar": "enterprise", "tredimga":
-    "trading", "tredimg": "trading", "tredarsa": "traders", "imdastrija": "industries", "imdastris": "industries", "teknolaojija":
-    "technologies", "teknolaoji": "technology", "teknalajis": "technologies", "teknalaji": "technology", "teka": "tech", "tek":
-    "tech", "sarviseja": "services", "saolyusamsa": "solutions", "solyusans": "solutions", "laojistiksa": "logistics", "enarji":
-    "energy", "aiti": "it", "globala": "global", "imtaranesanala": "international", "phudsa": "foods", "phuds": "foods", "phuda":
-    "food", "phud": "food", "impeksa": "impex", "impeks": "impex", "imjiniyarimga": "engineering", "kamstraksamsa":
-    "constructions", "kamstraksana": "construction", "straksans": "constructions", "prodaktsa": "products", "prodakts":
-    "products", "devalaparsa": "developers", "esteta": "estate", "estet": "estate", "midiya": "media", "egro": "agro",
-    "projektsa": "projects", "prajekts": "projects", "vemcarsa": "ventures", "eksaportsa": "exports", "prodyusara": "producer",
-    "pavara": "power", "sistamsa": "systems", "bildarsa": "builders", "investamemtsa": "investments", "investamemta":
-    "investment", "invest": "investments", "bijanesa": "business", "phaumdesana": "foundation", "phaumdesan": "foundation",
-    "kamsaltemtsa": "consultants", "kamsaltimga": "consulting", "kamsaltemsi": "consultancy", "kansaltensi": "consultancy",
-    "phainemsa": "finance", "phainans": "finance", "keyara": "care", "ker": "care", "imphra": "infra", "imphrastrakcara":
-    "infrastructure", "phrastrakcar": "infrastructure", "saophtaveyara": "software", "sapht": "software", "mainejamemta":
-    "management", "memt": "management", "imphoteka": "infotech", "helthakeyara": "healthcare", "haospitailiti": "hospitality",
-    "haspitaliti": "hospitality", "hotala": "hotel", "dijitala": "digital", "haiteka": "hitech", "krietiva": "creative", "yunika":
-    "unique", "yunivarsala": "universal", "suprima": "supreme", "primiyara": "premier", "gaileksi": "galaxy", "motarsa": "motors",
-    "pharmesi": "pharmacy", "pharnicara": "furniture", "provijana": "provision",
+    "marketimga": "marketing",
+    "praopartija": "properties",
+    "emtarapraijeja": "enterprises",
+    "emtar": "enterprise",
+    "tredimga": "trading",
+    "tredimg": "trading",
+    "tredarsa": "traders",
+    "imdastrija": "industries",
+    "imdastris": "industries",
+    "teknolaojija": "technologies",
+    "teknolaoji": "technology",
+    "teknalajis": "technologies",
+    "teknalaji": "technology",
+    "teka": "tech",
+    "tek": "tech",
+    "sarviseja": "services",
+    "saolyusamsa": "solutions",
+    "solyusans": "solutions",
+    "laojistiksa": "logistics",
+    "enarji": "energy",
+    "aiti": "it",
+    "globala": "global",
+    "imtaranesanala": "international",
+    "phudsa": "foods",
+    "phuds": "foods",
+    "phuda": "food",
+    "phud": "food",
+    "impeksa": "impex",
+    "impeks": "impex",
+    "imjiniyarimga": "engineering",
+    "kamstraksamsa": "constructions",
+    "kamstraksana": "construction",
+    "straksans": "constructions",
+    "prodaktsa": "products",
+    "prodakts": "products",
+    "devalaparsa": "developers",
+    "esteta": "estate",
+    "estet": "estate",
+    "midiya": "media",
+    "egro": "agro",
+    "projektsa": "projects",
+    "prajekts": "projects",
+    "vemcarsa": "ventures",
+    "eksaportsa": "exports",
+    "prodyusara": "producer",
+    "pavara": "power",
+    "sistamsa": "systems",
+    "bildarsa": "builders",
+    "investamemtsa": "investments",
+    "investamemta": "investment",
+    "invest": "investments",
+    "bijanesa": "business",
+    "phaumdesana": "foundation",
+    "phaumdesan": "foundation",
+    "kamsaltemtsa": "consultants",
+    "kamsaltimga": "consulting",
+    "kamsaltemsi": "consultancy",
+    "kansaltensi": "consultancy",
+    "phainemsa": "finance",
+    "phainans": "finance",
+    "keyara": "care",
+    "ker": "care",
+    "imphra": "infra",
+    "imphrastrakcara": "infrastructure",
+    "phrastrakcar": "infrastructure",
+    "saophtaveyara": "software",
+    "sapht": "software",
+    "mainejamemta": "management",
+    "memt": "management",
+    "imphoteka": "infotech",
+    "helthakeyara": "healthcare",
+    "haospitailiti": "hospitality",
+    "haspitaliti": "hospitality",
+    "hotala": "hotel",
+    "dijitala": "digital",
+    "haiteka": "hitech",
+    "krietiva": "creative",
+    "yunika": "unique",
+    "yunivarsala": "universal",
+    "suprima": "supreme",
+    "primiyara": "premier",
+    "gaileksi": "galaxy",
+    "motarsa": "motors",
+    "pharmesi": "pharmacy",
+    "pharnicara": "furniture",
+    "provijana": "provision",
 }
 
 # Country aliases.

@@ -199,7 +199,10 @@ def union_keys(keys: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
 
 
 def miss_category() -> Column:
-    """Why a true pair shares no key: over n1, n2 (normalised names), c1, c2 (countries), a2 (address), sc2, tr1, tr2."""
+    """Why a true pair shares no key: over n1, n2 (normalised names), c1, c2 (countries), a2 (address), sc2, tr1, tr2.
+
+    The names of the categories and their order are fixed values.
+    """
     t1, t2 = F.filter(F.split("n1", " "), lambda t: t != ""), F.filter(F.split("n2", " "), lambda t: t != "")
     shares = F.arrays_overlap(t1, t2)
     f1, f2 = F.get(t1, F.lit(0)), F.get(t2, F.lit(0))

@@ -28,6 +28,11 @@ FEATURES: dict[str, str] = {
     **{f"matched_key_{x}": "byte" for x in LABELS},
     "matched_key_count": "byte",
 }
+_WIDE = {n: (0.0, 1e9) for n in ("name_token_count_diff", "name_char_len_diff", "shared_address_number_count")} | {"address_length_difference": (-1.0, 1e9), "matched_key_count": (0.0, float(len(LABELS)))}
+_TERNARY = {n: (-1.0, 1.0) for n in ("address_exact", "address_number_overlap", "postal_match", "country_match")}
+#: The least and the largest value of each feature; -1 says that a side lacks the value.
+DOMAIN: dict[str, tuple[float, float]] = {n: (0.0, 1.0) for n in FEATURES} | _TERNARY | _WIDE
+
 NAME = list(FEATURES)[:12]
 ADDRESS = list(FEATURES)[12:22]
 CROSS = ["country_match"]
@@ -35,6 +40,12 @@ BLOCKING = list(FEATURES)[23:]
 REPRESENTATION = ["n_text", "n_translit", "n_set", "n_count", "n_grams", "n_first", "n_acronym", "n_suffix", "a_text", "a_set", "a_grams", "a_numbers", "a_number", "a_postal", "a_missing", "c_text"]
 
 
+def feature_metadata() -> list[dict]:
+    """Of each feature in order: name, group, type, least and largest value, and whether -1 stands for a missing side."""
+    groups = {n: g for g, names in (("name", NAME), ("address", ADDRESS), ("cross", CROSS), ("blocking", BLOCKING)) for n in names}
+    return [{"name": n, "group": groups[n], "type": t, "least": DOMAIN[n][0], "most": DOMAIN[n][1], "missing_is_minus_one": DOMAIN[n][0] < 0} for n, t in FEATURES.items()]
+
+
 def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
@@ -156,9 +167,7 @@ def profile_pair_features(pairs: DataFrame, processed: DataFrame) -> DataFrame:
 
 def feature_ranges(features: DataFrame) -> DataFrame:
     """feature, least, most, nulls and whether all values are in the feature's domain."""
-    domain = {n: (0.0, 1.0) for n in FEATURES} | {n: (-1.0, 1.0) for n in ("address_exact", "address_number_overlap", "postal_match", "country_match")}
-    domain |= {n: (0.0, 1e9) for n in ("name_token_count_diff", "name_char_len_diff", "shared_address_number_count")} | {"address_length_difference": (-1.0, 1e9), "matched_key_count": (0.0, 5.0)}
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v"), F.lit(domain[n][0]).alias("a"), F.lit(domain[n][1]).alias("b")) for n in FEATURES]))
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v"), F.lit(DOMAIN[n][0]).alias("a"), F.lit(DOMAIN[n][1]).alias("b")) for n in FEATURES]))
     long = features.select(rows.alias("r")).select("r.*")
     inside = F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") >= F.col("a") - 1e-5) & (F.col("v") <= F.col("b") + 1e-5)
     return long.groupBy("feature").agg(F.round(F.min("v"), 6).alias("least"), F.round(F.max("v"), 6).alias("most"), F.count_if(F.col("v").isNull()).alias("nulls"), F.bool_and(inside).alias("in_domain"))

@@ -241,6 +241,8 @@ def test_features_of_two_feature_groups_and_aliases(spark):
     pairs = spark.createDataFrame([("S1-1", "S2-1", "source2", ["A"])], f"{PAIRS}, labels array<string>")
     whole = features.pair_features(pairs, entities)
     validate.feature_frame(whole)
+    meta = features.feature_metadata()
+    assert [m["name"] for m in meta] == whole.columns[3:] and {m["group"] for m in meta} == {"name", "address", "cross", "blocking"}
     names = list(features.FEATURES)
     parts = summaries.combine_features(features.pair_features(pairs, entities, names[:12]), features.pair_features(pairs, entities, names[12:]))
     assert tuple(parts.first()) == tuple(whole.first()) and parts.columns == whole.columns
