@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspan.functions import text as T
+from kinspan.functions.fixed import SCRIPT_LANGUAGE
 from kinspan.functions.translit import transliterate
 from kinspan.operators import blocking as B
 from kinspan.operators import features as X
@@ -825,6 +827,22 @@ def script_table(spark, sf):
     return indic_names(spark, sf).select("p_partkey", T.script(F.col("text")).alias("script"))
 
 
+SCRIPT_LANGUAGES = "case script " + " ".join(f"when '{k}' then '{v}'" for k, v in SCRIPT_LANGUAGE.items()) + " end"
+
+
+@query("q_language_table", f"select p_partkey, {SCRIPT_LANGUAGES} as language from (select p_partkey, case when regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlvsh ]') then 'Mixed' else {SCRIPT_CASE} end script from part)")
+def language_table(spark, sf):
+    return indic_names(spark, sf).select("p_partkey", T.language(F.col("text"), T.script(F.col("text"))).alias("language"))
+
+
+@query("q_processed_outputs", O.sql("select source, count(*) total_rows, count(distinct entity_id) distinct_ids, count(*) filter (source not in ('source1', 'source2', 'source3')) wrong_source, count(*) filter (entity_id not like 'S' || right(source, 1) || '-%') wrong_prefix, count(*) filter (entity_id is null) null_ids, count(*) filter (business_address in ('nan', 'None', 'null', 'NaN')) sentinel_addresses, count(*) filter (business_address is null) null_addresses from er group by 1", "er"))
+def processed_outputs(spark, sf):
+    """The checks of processed output over every source."""
+    df = processed(spark, sf)
+    parts = [validate.processed_output(df.filter(F.col("source") == x), x).withColumn("source", F.lit(x)) for x in validate.PREFIX]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("q_script_details", f"select p_partkey, length(regexp_replace(p_name, '[^aiueokgcjtdnpbmyrlvsh]', '', 'g')) + length(regexp_replace(p_name, '[^kgcjtdnpbmyrlvsh]', '', 'g')) + length(regexp_replace(p_name, '[aiueokgcjtdnpbmyrlvsh ]', '', 'g')) total, regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlvsh ]') is_mixed, {SCRIPT_CASE} dominant from part")
 def script_details(spark, sf):
     d = indic_names(spark, sf).select("p_partkey", T.script_details(F.col("text")).alias("d"))
