@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -11,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset and everything runs in one process, as in tests.
-LOCAL_SHARED_DIR = "/tmp/checkpoints/kinspan"
+from kinspan.sources.staging import file_system, shared_dir
 
 #: ASCII white space as the contracts state it: space and \t \n \v \f \r.
 WS = r"[\x20\x09-\x0D]"
@@ -26,14 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; on one machine without it, a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master")):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return folder or LOCAL_SHARED_DIR
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and lost executors don't lose the rows.
 
@@ -42,8 +32,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,8 +41,8 @@ def drop_staged(df: DataFrame) -> None:
     """Delete what stage() wrote, once nothing reads it any more."""
     spark = df.sparkSession
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, at = file_system(spark, file)
+        fs.delete(at, True)
 
 
 def fold_is(doc_id: Column, modulus: int, remainder: int) -> Column:

@@ -140,6 +140,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     The revision (-1 draft, +1 text, where they differ) comes before the load that it revises, and the load comes twice.
     """
     rollup = Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
+    rollup._fs().deleteOnExit(rollup._path(""))  # this query's rollup is of one use
     docs = read(spark, sf_dir, "documents").select("source", "lang", "text")
     draft = docs.withColumn("draft", F.regexp_replace("text", f"{WS}+", " "))
     both = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("draft").alias("text")), F.struct(F.lit(1).alias("sign"), F.col("text").alias("text"))))
