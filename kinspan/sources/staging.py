@@ -7,12 +7,13 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Used only where spark.checkpoint.dir is unset and everything runs in one process, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/kinspan"
 
-#: Staged tables of this driver: by application, name, input path and the state of its files.
-_STAGED: dict[tuple, DataFrame] = {}
+#: Folder and schema of the staged tables of this driver: by application, name, input path and the state of its files.
+_STAGED: dict[tuple, tuple[str, StructType]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,21 @@ def state(spark: SparkSession, path: str) -> tuple[int, int, int]:
     return n, size, latest
 
 
+def _write(df: DataFrame, name: str) -> str:
+    """A new folder below the shared one with df in it; it goes when the driver ends."""
+    spark = df.sparkSession
+    out = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    fs, at = file_system(spark, out)
+    fs.deleteOnExit(at)
+    return out
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written to the shared folder and read back."""
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
+
+
 def staged(spark: SparkSession, name: str, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What make() gives, written when it is first asked for and again only if files below `path` have changed.
 
@@ -45,12 +61,10 @@ def staged(spark: SparkSession, name: str, path: str, make: Callable[[], DataFra
     """
     key = (spark.sparkContext.applicationId, name, path, state(spark, path))
     if key not in _STAGED:
-        df, out = make(), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(out)
-        fs, at = file_system(spark, out)
-        fs.deleteOnExit(at)
-        _STAGED[key] = spark.read.schema(df.schema).parquet(out)
-    return _STAGED[key]
+        df = make()
+        _STAGED[key] = _write(df, name), df.schema
+    out, schema = _STAGED[key]
+    return spark.read.schema(schema).parquet(out)
 
 
 def forget() -> None:
