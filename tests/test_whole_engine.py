@@ -247,3 +247,20 @@ def test_features_of_two_feature_groups_and_aliases(spark):
     parts = summaries.combine_features(features.pair_features(pairs, entities, names[:12]), features.pair_features(pairs, entities, names[12:]))
     assert tuple(parts.first()) == tuple(whole.first()) and parts.columns == whole.columns
     assert records.with_aliases(entities).filter("is_address_missing or primary_address_number <> '12'").count() == 0
+
+
+def test_features_at_several_sizes_and_one_by_one(spark):
+    from kinspan.plans.queries import candidates
+    from kinspan.plans.scale import feature_scale, transliteration_rate
+    from kinspan.plans.views import represented
+
+    sf = "/root/testdata/sf0.001"
+    pairs, entities = candidates(spark, sf), represented(spark, sf)
+    assert [(r.pairs, r.bad_features) for r in feature_scale(pairs, entities, [5, 40]).collect()] == [(5, 0), (40, 0)]
+    some = pairs.orderBy(*features.PAIR).limit(4)
+    together = sorted(tuple(r) for r in features.pair_features(some, entities).collect())
+    alone = sorted(tuple(features.pair_features(spark.createDataFrame([r], some.schema), entities).first()) for r in some.collect())
+    assert together == alone
+    texts = spark.createDataFrame([("a", "राम मार्केटिंग"), ("b", "শক্তি")], "key string, text string")
+    rate = transliteration_rate(spark, texts, 50).first()
+    assert (rate.records, rate.residual, rate.empty, rate.unchanged) == (50, 0, 0, 0)
