@@ -380,6 +380,7 @@ _features("q_address_features", X.ADDRESS)
 _features("q_cross_features", X.CROSS)
 _features("q_blocking_features", X.BLOCKING)
 _features("q_features29", list(X.FEATURES))
+_features("q_features17", X.ADDRESS + X.CROSS + X.BLOCKING)
 
 
 PAIR21 = f"""
@@ -400,6 +401,31 @@ def pair_features21(spark, sf):
     return df.select(*PAIR, *whole, *[r6(c).alias(c) for c in ("name_token_jaccard", "name_char_ngram_jaccard", "addr_token_jaccard", "addr_token_overlap")])
 
 
+def _addr(side: str) -> str:
+    return f"coalesce(nullif({side}.business_address_normalized, ''), {side}.business_address, '')"
+
+
+def _same(column: str, lower: str = "lower") -> str:
+    a, b = (f"coalesce({x}.{column}, '')" for x in "ab")
+    return f"({lower}(trim({a})) = {lower}(trim({b})) and {a} <> '')::int"
+
+
+PAIR21_REST = f"""
+select {O.PAIR}, {_same('business_name')} name_exact_translit, round({O.over('list_distinct(a.n_tokens)', 'list_distinct(b.n_tokens)', '1.0')}, 6) name_token_overlap, abs(len(a.n_tokens) - len(b.n_tokens)) name_token_len_diff,
+  {_same('business_address')} addr_exact_raw, {_same('business_address_normalized', '')} addr_exact_norm, {_same('business_address')} addr_exact_translit,
+  round({O.jac(O.grams(_addr('a')), O.grams(_addr('b')), '1.0')}, 6) addr_char_ngram_jaccard, abs(coalesce(len(a.a_tokens), 0) - coalesce(len(b.a_tokens), 0)) addr_token_len_diff,
+  round({O.jac(O.numbers(_addr('a')), O.numbers(_addr('b')), '1.0')}, 6) shared_num_jaccard, (len(list_intersect({O.numbers(_addr('a'))}, {O.numbers(_addr('b'))})) > 0)::int has_shared_num
+from cand join ent a on a.entity_id = source1_entity_id join ent b on b.entity_id = candidate_entity_id
+"""
+
+
+@query("q_pair_features21_rest", O.sql(PAIR21_REST, "cand", "ent"))
+def pair_features21_rest(spark, sf):
+    df = X.profile_pair_features(candidates(spark, sf).drop("labels"), processed(spark, sf))
+    whole = ["name_exact_translit", "name_token_len_diff", "addr_exact_raw", "addr_exact_norm", "addr_exact_translit", "addr_token_len_diff", "has_shared_num"]
+    return df.select(*PAIR, *whole, *[r6(c).alias(c) for c in ("name_token_overlap", "addr_char_ngram_jaccard", "shared_num_jaccard")])
+
+
 @query("q_feature_ranges", O.sql("select feature, round(min(v), 6) as least, round(max(v), 6) as most, 0::bigint nulls, true in_domain from (" + f"unpivot (select {O.feature_list(list(X.FEATURES))} from joined) on columns(*) into name feature value v" + ") group by 1", "joined"))
 def feature_ranges(spark, sf):
     made = X.name_features() | X.address_features() | X.cross_features() | X.blocking_features(F.col("labels"))
