@@ -818,9 +818,10 @@ def non_match_summary(spark, sf):
     return summarised(spark, sf, {"hard": profile.hard_negatives(p, truth), "random": summaries.random_negatives(p, truth, 500)})
 
 
-# table text in Indic scripts and back: a letter is written as its consonant and virama or its vowel
+# table text in Indic scripts and back: a letter is written as its consonant and virama or its vowel; letters that one of
+# the scripts lacks (v in Bengali) stay Latin
 
-LETTERS = dict(zip("aiueokgcjtdnpbmyrlvsh", [0x05, 0x07, 0x09, 0x0F, 0x13, 0x15, 0x17, 0x1A, 0x1C, 0x24, 0x26, 0x28, 0x2A, 0x2C, 0x2E, 0x2F, 0x30, 0x32, 0x35, 0x38, 0x39], strict=True))
+LETTERS = dict(zip("aiueokgcjtdnpbmyrlsh", [0x05, 0x07, 0x09, 0x0F, 0x13, 0x15, 0x17, 0x1A, 0x1C, 0x24, 0x26, 0x28, 0x2A, 0x2C, 0x2E, 0x2F, 0x30, 0x32, 0x38, 0x39], strict=True))
 INDIC_SCRIPTS = ["Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Odia", "Telugu", "Kannada", "Malayalam"]
 
 
@@ -848,7 +849,7 @@ def translit_table(spark, sf):
     return indic_names(spark, sf).select("p_partkey", transliterate(F.col("text")).alias("out"))
 
 
-@query("q_script_table", f"select p_partkey, case when regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlvsh ]') then 'Mixed' else {SCRIPT_CASE} end script from part")
+@query("q_script_table", f"select p_partkey, case when regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlsh ]') then 'Mixed' else {SCRIPT_CASE} end script from part")
 def script_table(spark, sf):
     return indic_names(spark, sf).select("p_partkey", T.script(F.col("text")).alias("script"))
 
@@ -856,7 +857,7 @@ def script_table(spark, sf):
 SCRIPT_LANGUAGES = "case script " + " ".join(f"when '{k}' then '{v}'" for k, v in SCRIPT_LANGUAGE.items()) + " end"
 
 
-@query("q_language_table", f"select p_partkey, {SCRIPT_LANGUAGES} as language from (select p_partkey, case when regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlvsh ]') then 'Mixed' else {SCRIPT_CASE} end script from part)")
+@query("q_language_table", f"select p_partkey, {SCRIPT_LANGUAGES} as language from (select p_partkey, case when regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlsh ]') then 'Mixed' else {SCRIPT_CASE} end script from part)")
 def language_table(spark, sf):
     return indic_names(spark, sf).select("p_partkey", T.language(F.col("text"), T.script(F.col("text"))).alias("language"))
 
@@ -869,19 +870,19 @@ def processed_outputs(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("q_script_details", f"select p_partkey, length(regexp_replace(p_name, '[^aiueokgcjtdnpbmyrlvsh]', '', 'g')) + length(regexp_replace(p_name, '[^kgcjtdnpbmyrlvsh]', '', 'g')) + length(regexp_replace(p_name, '[aiueokgcjtdnpbmyrlvsh ]', '', 'g')) total, regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlvsh ]') is_mixed, {SCRIPT_CASE} dominant from part")
+@query("q_script_details", f"select p_partkey, length(regexp_replace(p_name, '[^aiueokgcjtdnpbmyrlsh]', '', 'g')) + length(regexp_replace(p_name, '[^kgcjtdnpbmyrlsh]', '', 'g')) + length(regexp_replace(p_name, '[aiueokgcjtdnpbmyrlsh ]', '', 'g')) total, regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlsh ]') is_mixed, {SCRIPT_CASE} dominant from part")
 def script_details(spark, sf):
     d = indic_names(spark, sf).select("p_partkey", T.script_details(F.col("text")).alias("d"))
     return d.select("p_partkey", F.col("d.total").alias("total"), F.col("d.is_mixed").alias("is_mixed"), F.col("d.dominant").alias("dominant"))
 
 
-@query("q_profile_scripts", f"select script, count(*) as rows from (select case when {SCRIPT_CASE} = 'Odia' then 'Oriya' else {SCRIPT_CASE} end script from part union all select 'Latin' from part where regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlvsh ]')) group by 1")
+@query("q_profile_scripts", f"select script, count(*) as rows from (select case when {SCRIPT_CASE} = 'Odia' then 'Oriya' else {SCRIPT_CASE} end script from part union all select 'Latin' from part where regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlsh ]')) group by 1")
 def profile_scripts(spark, sf):
     found = indic_names(spark, sf).select(F.explode(summaries.profile_scripts(F.col("text"))).alias("script"))
     return found.groupBy("script").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("q_vocabulary_audit", f"with t as (select unnest(string_split(p_name, ' ')) as value from part), a as (select value, count(*) as rows, row_number() over (order by count(*) desc, value) r from t group by 1) select 'token' kind, value, rows, case value when 'azure' then 'colour' end keyword from a where r <= 200 union all select 'script', case when regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlvsh ]') then 'Mixed' else {SCRIPT_CASE} end, count(*), null from part group by 2 union all select 'last', string_split(p_name, ' ')[-1], count(*), null from part group by 2")
+@query("q_vocabulary_audit", f"with t as (select unnest(string_split(p_name, ' ')) as value from part), a as (select value, count(*) as rows, row_number() over (order by count(*) desc, value) r from t group by 1) select 'token' kind, value, rows, case value when 'azure' then 'colour' end keyword from a where r <= 200 union all select 'script', case when regexp_matches(p_name, '[^aiueokgcjtdnpbmyrlsh ]') then 'Mixed' else {SCRIPT_CASE} end, count(*), null from part group by 2 union all select 'last', string_split(p_name, ' ')[-1], count(*), null from part group by 2")
 def vocabulary_audit(spark, sf):
     named = indic_names(spark, sf).withColumn("latin", transliterate(F.col("text")))
     rows = named.select(T.script(F.col("text")).alias("business_name_script"), T.name_tokens(F.col("latin")).alias("business_name_tokens"))
