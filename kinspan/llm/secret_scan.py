@@ -122,6 +122,8 @@ def scored(found: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     learn = with_features(labelled_findings(found.sparkSession, LABELLED_ROWS, SEED) if findings is None else findings)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     forest = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(assembler.transform(learn).select("features", F.col("label").cast("double").alias("label")))
+    # a copy has no training summary: that holds the session, which can't be sent to tasks once a query was observed
+    forest = forest.copy()
     return forest.transform(assembler.transform(with_features(found))).withColumn("score", F.element_at(vector_to_array("probability"), 2)).select(*found.columns, "score")
 
 
